@@ -40,6 +40,7 @@ class Scored:
     settings: Row
     vocab: list[str]
     n: int
+    _info: DataFrame | None = None
 
     def tag_categories(self) -> DataFrame:
         counts = L.tag_counts(L.binarize_labels(self.preds))
@@ -52,7 +53,9 @@ class Scored:
         return E.threshold_sweep(self.cells())
 
     def tag_info(self) -> DataFrame:
-        return E.tune_thresholds(self.sweep(), self.tag_categories())
+        if self._info is None:
+            self._info = stage(E.tune_thresholds(self.sweep(), self.tag_categories()), "tag-info")
+        return self._info
 
     def judged(self) -> DataFrame:
         return E.judge(self.preds, self.tag_info())

@@ -85,14 +85,16 @@ def attach_thresholds(cells: DataFrame, tag_info: DataFrame) -> DataFrame:
 def judge(preds: DataFrame, tag_info: DataFrame) -> DataFrame:
     """Cells with threshold, category and the 0/1 decision, still one row per case.
 
-    The lookup map is a scalar subquery with an entry per tag, so it is no larger than
-    the cells of one case.
+    Thresholds arrive as a scalar subquery: an array in tag order, no larger than the
+    cells of one case. Cells in vocabulary order meet their threshold by position; a cell
+    whose neighbour in the array is another tag looks its own up.
     """
-    entry = F.struct("tag", F.struct("threshold", "category"))
-    lookup = tag_info.agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    info = F.sort_array(F.collect_list(F.struct("tag", "threshold", "category")))
+    entries = tag_info.agg(info).scalar()
 
-    def decide(c: Column) -> Column:
-        known = F.try_element_at(F.col("_info"), c["tag"])
+    def decide(c: Column, at: Column) -> Column:
+        known = F.when(at["tag"] == c["tag"], at).otherwise(
+            F.get(F.filter(F.col("_info"), lambda i: i["tag"] == c["tag"]), 0))
         threshold = F.coalesce(known["threshold"], F.lit(DEFAULT_THRESHOLD))
         return F.struct(
             c["tag"].alias("tag"), c["y"].alias("y"), c["p"].alias("p"),
@@ -100,8 +102,8 @@ def judge(preds: DataFrame, tag_info: DataFrame) -> DataFrame:
             F.coalesce(known["category"], F.lit("normal")).alias("category"),
             (c["p"] >= threshold).cast("int").alias("pred"))
 
-    return preds.withColumn("_info", lookup).withColumn(
-        "cells", F.transform("cells", decide)).drop("_info")
+    paired = F.zip_with("cells", F.slice("_info", 1, F.size("cells")), decide)
+    return preds.withColumn("_info", entries).withColumn("cells", paired).drop("_info")
 
 
 def judge_cells(cells: DataFrame, tag_info: DataFrame) -> DataFrame:
