@@ -295,11 +295,14 @@ SELECT case_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY case_id)) AS
   FROM ct_tf t JOIN ct_vocab USING (term))""")
 
 
+cte("few", "SELECT tag FROM cnt_all WHERE cnt < greatest(5, floor((SELECT count(*) FROM cases) * 0.0005::DOUBLE))")
+cte("few_pos", "SELECT l.tag, l.case_id AS pos_id, term, w AS pw FROM labels_all l JOIN few USING (tag) "
+               "JOIN ct_vec v ON v.case_id = l.case_id")
+
+
 @query("max_similarity_to_positives", sql("""
-WITH few AS (SELECT tag FROM cnt_all WHERE cnt < greatest(5, floor((SELECT count(*) FROM cases) * 0.0005::DOUBLE))),
-pos AS (SELECT l.tag, l.case_id AS pos_id, term, w AS pw FROM labels_all l JOIN few USING (tag) JOIN ct_vec v ON v.case_id = l.case_id),
-sims AS (SELECT case_id, tag, max(s) AS s FROM (SELECT v.case_id, tag, pos_id, sum(w * pw) AS s
-  FROM ct_vec v JOIN pos USING (term) GROUP BY ALL) GROUP BY ALL),
+WITH sims AS (SELECT case_id, tag, max(s) AS s FROM (SELECT v.case_id, tag, pos_id, sum(w * pw) AS s
+  FROM ct_vec v JOIN few_pos USING (term) GROUP BY ALL) GROUP BY ALL),
 cells AS (SELECT c.case_id, f.tag, coalesce(s, 0) AS s FROM cases c CROSS JOIN few f LEFT JOIN sims USING (case_id, tag))
 SELECT case_id, tag, round(s, 6) AS similarity,
   round((s - min(s) OVER (PARTITION BY tag)) / (max(s) OVER (PARTITION BY tag) - min(s) OVER (PARTITION BY tag) + 1e-9::DOUBLE), 6) AS p
@@ -319,7 +322,7 @@ def fallback_query(spark, folder):
 cte("mismatch", """
 WITH wrong AS (SELECT case_id, fold, tag, p, CASE WHEN y = 1 THEN 'MISSED' ELSE 'FALSE ALARM' END AS direction FROM probs
   WHERE y <> (p >= 0.5)::INT),
-c AS (SELECT x.case_id, x.tag, direction, p, term, w * abs(weight) AS v FROM wrong x JOIN tfidf t ON t.case_id = x.case_id
+c AS (SELECT x.case_id, x.tag, direction, p, t.term, w * abs(weight) AS v FROM wrong x JOIN tfidf t ON t.case_id = x.case_id
   JOIN bi_probe b ON b.fold = x.fold AND b.term = t.term AND b.tag = x.tag AND b.cp > 0)
 SELECT case_id, tag, direction, round(p * 100, 1) AS conf_pct, rn AS rank, term, v / total * 100 AS share_pct FROM (
   SELECT *, sum(v) OVER (PARTITION BY case_id, tag) AS total,

@@ -42,11 +42,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
-def terms(text: Column, bigrams: bool = True) -> Column:
-    """Tokens and, in reading order, the pairs of neighbouring tokens."""
-    words = tokens(text)
-    if not bigrams:
-        return words
+def terms(words: Column) -> Column:
+    """The tokens and, in reading order, the pairs of neighbouring tokens.
+
+    ``words`` should be a column rather than an expression: it is read several times.
+    """
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, n),
                        lambda a, b: F.concat_ws(" ", a, b))

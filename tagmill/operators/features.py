@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import terms
+from ..functions.text import terms, tokens
 
 MAX_TERMS = 15_000
 
@@ -24,21 +24,25 @@ def vocab_top_terms(docs: DataFrame, k: int = MAX_TERMS, min_df: int = 1) -> Dat
     """
     seen = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
     once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
-    counted = docs.select(F.inline(F.concat(seen, once))).groupBy("term").agg(
+    rows = docs.select(F.inline_outer(F.concat(seen, once))).filter(F.col("term").isNotNull())
+    counted = rows.groupBy("term").agg(
         F.sum(1 - F.col("first")).alias("tf"), F.sum(F.col("first").cast("bigint")).alias("df"))
     return counted.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(k)
 
 
 def with_terms(cases: DataFrame, text: Column, bigrams: bool = True) -> DataFrame:
-    return cases.withColumn("terms", terms(text, bigrams))
+    found = cases.withColumn("terms", tokens(text))
+    return found.withColumn("terms", terms(F.col("terms"))) if bigrams else found
 
 
 def term_counts(docs: DataFrame, vocab: DataFrame, *carry: str) -> DataFrame:
     """(case_id, term, tf) over the vocabulary, which is bounded by its top-k.
 
     Carried case columns travel with each term, so later steps need no join for them.
+    The outer explode keeps the optimizer from filtering on the size of the term array,
+    which would tokenise every text again; the join drops the empty rows.
     """
-    rows = docs.select("case_id", *carry, F.explode("terms").alias("term"))
+    rows = docs.select("case_id", *carry, F.explode_outer("terms").alias("term"))
     kept = rows.join(F.broadcast(vocab), "term")
     extra = [F.any_value(c).alias(c) for c in vocab.columns if c != "term"]
     extra += [F.any_value(c).alias(c) for c in carry]

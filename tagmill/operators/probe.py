@@ -46,38 +46,48 @@ def _without_own(counts: DataFrame, keys: list[str], folds: int, name: str) -> D
         "fold", *keys, (F.col("_t") - F.col("_own")).alias(name))
 
 
+LENGTH, TERM = -1, 0  # pseudo tags: number of terms in the case, and the part per term
+
+
 class NaiveBayesProbe:
     """Term weights per (fold, term, tag), learnt from the other folds.
 
     ``bags``: (case_id, fold, tags, bag). A weight splits into a part per tag (``bias``),
     a part per term and a correction that is zero unless the term met the tag, so only
-    (term, tag) pairs that occur are stored.
+    (term, tag) pairs that occur are stored. Index 0 stands for "any tag", the others
+    for the vocabulary from 1.
     """
 
     def __init__(self, bags: DataFrame, vocab: list[str], folds: int = FOLDS):
         self.vocab, self.folds = vocab, folds
-        rows = bags.select("fold", "tags", F.inline("bag"))
-        tag_index = F.array_position(string_array(vocab), F.col("tag")).cast("int")
-        positive = rows.select("fold", "term", "tf", F.explode("tags").alias("tag")).groupBy(
-            "fold", "term", tag_index.alias("idx")).agg(F.sum("tf").alias("c")).filter(F.col("idx") > 0)
-        positive = stage(positive, "probe-pos")
-        total = stage(rows.groupBy("fold", "term").agg(F.sum("tf").alias("c")), "probe-tot")
-
-        seen = _without_own(total, ["term"], folds, "c")
-        met = _without_own(positive, ["term", "idx"], folds, "cp")
-        n_terms = total.select("term").distinct().count()
-        n_seen = _without_own(total.groupBy("fold").agg(F.sum("c").alias("c")).withColumn("k", F.lit(0)),
-                              ["k"], folds, "n").drop("k")
-        n_met = _without_own(positive.groupBy("fold", "idx").agg(F.sum("c").alias("c")), ["idx"], folds, "np")
-        bias = F.log(F.col("n") - F.col("np") + n_terms) - F.log(F.col("np") + n_terms)
-        self.bias = stage(n_met.join(n_seen, "fold").select("fold", "idx", bias.alias("bias")), "probe-bias")
-
-        gain = (F.log(F.col("cp") + 1) - F.log(F.col("c") - F.col("cp") + 1) + F.log(F.col("c") + 1))
-        gains = met.filter(F.col("cp") > 0).join(seen, ["fold", "term"]).select(
-            "fold", "term", F.struct("idx", gain.alias("g")).alias("e"))
-        rest = seen.select("fold", "term", F.struct(F.lit(0).alias("idx"), (-F.log(F.col("c") + 1)).alias("g")).alias("e"))
-        self.weights = stage(gains.unionByName(rest).groupBy("fold", "term").agg(
-            F.collect_list("e").alias("gains")), "probe-weights")
+        known = F.filter(F.transform("tags", lambda t: F.array_position(string_array(vocab), t).cast("int")),
+                         lambda i: i > 0)
+        rows = bags.select("fold", F.concat(known, F.array(F.lit(TERM))).alias("idxs"), F.inline("bag"))
+        counts = rows.select("fold", "term", "tf", F.explode_outer("idxs").alias("idx")).groupBy(
+            "fold", "term", "idx").agg(F.sum("tf").alias("c"))
+        counts = stage(counts, "probe-counts")
+        n_terms = counts.filter(F.col("idx") == TERM).select("term").distinct().count()
+
+        sizes = _without_own(counts.groupBy("fold", "idx").agg(F.sum("c").alias("c")), ["idx"], folds, "n")
+        every = sizes.filter(F.col("idx") == TERM).select("fold", F.col("n").alias("all"))
+        bias = F.log(F.col("all") - F.col("n") + n_terms) - F.log(F.col("n") + n_terms)
+        self.bias = stage(sizes.filter(F.col("idx") > TERM).join(every, "fold").select(
+            "fold", "idx", bias.alias("bias")), "probe-bias")
+
+        others = _without_own(counts, ["term", "idx"], folds, "c").filter(
+            (F.col("c") > 0) | (F.col("idx") == TERM))
+        per_term = others.groupBy("fold", "term").agg(
+            F.collect_list(F.struct("idx", "c")).alias("met"),
+            F.max(F.when(F.col("idx") == TERM, F.col("c"))).alias("c"))
+        c = F.col("c")
+
+        def gain(m: Column) -> Column:
+            value = F.log(m["c"] + 1) - F.log(c - m["c"] + 1) + F.log(c + 1)
+            return F.struct(m["idx"].alias("idx"), F.when(m["idx"] == TERM, -F.log(c + 1)).otherwise(value).alias("g"))
+
+        length = F.array(F.struct(F.lit(LENGTH).alias("idx"), F.lit(1.0).alias("g")))
+        self.weights = stage(per_term.select(
+            "fold", "term", F.concat(length, F.transform("met", gain)).alias("gains")), "probe-weights")
 
     def _passes(self) -> list[DataFrame]:
         """The weights, cut into runs of tags that each fit the broadcast bound."""
@@ -86,60 +96,57 @@ class NaiveBayesProbe:
         if runs == 1:
             return [F.broadcast(self.weights)]
         step = -(-len(self.vocab) // runs)
-        out = []
-        for lo in range(0, len(self.vocab), step):
-            inside = F.filter("gains", lambda e: (e["idx"] > lo) & (e["idx"] <= lo + step) | (e["idx"] == 0) if lo == 0
-                              else (e["idx"] > lo) & (e["idx"] <= lo + step))
-            out.append(F.broadcast(self.weights.withColumn("gains", inside)))
-        return out
-
-    def scores(self, bags: DataFrame) -> DataFrame:
-        """Per case: its columns plus ``sums`` array<(idx, s)>, the summed term gains."""
-        placed = spread_by_case(bags)
-        carried = [c for c in bags.columns if c not in ("case_id", "bag")]
-        keep = [F.any_value(c).alias(c) for c in carried]
-        length = F.aggregate("bag", F.lit(0).cast("bigint"), lambda a, b: a + b["tf"])
-        rows = placed.withColumn("length", length).select(
-            "case_id", *carried, "length", F.inline_outer("bag"))
+        bounds = [(lo if lo else LENGTH - 1, lo + step) for lo in range(0, len(self.vocab), step)]
+
+        def run(lo: int, hi: int) -> DataFrame:
+            inside = F.filter("gains", lambda e: (e["idx"] > lo) & (e["idx"] <= hi))
+            return F.broadcast(self.weights.withColumn("gains", inside))
+
+        return [run(lo, hi) for lo, hi in bounds]
+
+    def sums(self, bags: DataFrame) -> DataFrame:
+        """Per case, the summed term gains by index.
+
+        The bags are hashed by case once; the broadcast join, the sums per (case, tag)
+        and their list per case all run in that partitioning.
+        """
+        rows = spread_by_case(bags.select("case_id", "fold", "bag")).select("case_id", "fold", F.inline("bag"))
         parts = None
         for weights in self._passes():
-            hit = rows.join(weights, ["fold", "term"], "left").select(
-                "case_id", *carried, "length", "tf", F.inline_outer("gains"))
-            summed = hit.groupBy("case_id", "idx").agg(
-                F.sum(F.col("tf") * F.col("g")).alias("s"), F.any_value("length").alias("length"), *keep)
+            hit = rows.join(weights, ["fold", "term"]).select("case_id", "tf", F.inline("gains"))
+            summed = hit.groupBy("case_id", "idx").agg(F.sum(F.col("tf") * F.col("g")).alias("s"))
             parts = summed if parts is None else parts.unionByName(summed)
-        pair = F.when(F.col("idx").isNotNull(), F.struct("idx", "s"))
         return parts.groupBy("case_id").agg(
-            F.collect_list(pair).alias("sums"), F.any_value("length").alias("length"), *keep)
+            F.map_from_entries(F.collect_list(F.struct("idx", "s"))).alias("_sum"))
 
     def probabilities(self, bags: DataFrame, sharpness: float = SHARPNESS) -> DataFrame:
         """Prediction table: cells of (tag, y, p), p from folds that exclude the case."""
-        per_fold = F.sort_array(F.collect_list(F.struct("idx", "bias")))
+        per_fold = F.map_from_entries(F.collect_list(F.struct("idx", "bias")))
         table = self.bias.groupBy("fold").agg(per_fold.alias("b"))
         lookup = table.agg(F.map_from_entries(F.collect_list(F.struct("fold", "b")))).scalar()
-        scored = self.scores(bags).withColumns({
-            "_bias": F.try_element_at(lookup, F.col("fold")),
-            "_sum": F.map_from_entries("sums")})
-        base = F.coalesce(F.try_element_at("_sum", F.lit(0)), F.lit(0.0))
+        scored = bags.drop("bag").join(self.sums(bags), "case_id", "left").withColumn("_biases", lookup)
+        scored = scored.withColumns({
+            "_bias": F.try_element_at("_biases", F.col("fold")),
+            "_length": F.try_element_at("_sum", F.lit(LENGTH)),
+            "_base": F.try_element_at("_sum", F.lit(TERM))})
 
         def cell(tag: Column, at: Column) -> Column:
             idx = (at + 1).cast("int")
             gain = F.coalesce(F.try_element_at(F.col("_sum"), idx), F.lit(0.0))
-            bias = F.coalesce(F.get(F.filter(F.col("_bias"), lambda b: b["idx"] == idx), 0)["bias"], F.lit(0.0))
-            score = F.when(F.col("length") > 0, bias + (F.col("_base") + gain) / F.col("length")).otherwise(0.0)
+            bias = F.coalesce(F.try_element_at(F.col("_bias"), idx), F.lit(0.0))
+            score = F.coalesce(bias + (F.col("_base") + gain) / F.col("_length"), F.lit(0.0))
             p = 1 / (1 + F.exp(-sharpness * score))
             return F.struct(tag.alias("tag"), F.array_contains("tags", tag).cast("int").alias("y"),
                             F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP)).alias("p"))
 
         keep = [c for c in bags.columns if c != "bag"]
-        return scored.withColumn("_base", base).withColumn(
-            "cells", F.transform(string_array(self.vocab), cell)).select(*keep, "cells")
+        return scored.withColumn("cells", F.transform(string_array(self.vocab), cell)).select(*keep, "cells")
 
     def term_weights(self) -> DataFrame:
         """(fold, term, idx, weight) for the pairs that occur, in full."""
-        rows = self.weights.withColumn("base", F.filter("gains", lambda e: e["idx"] == 0)[0]["g"])
-        pairs = rows.select("fold", "term", "base", F.inline("gains")).filter(F.col("idx") > 0)
-        return pairs.join(F.broadcast(self.bias), ["fold", "idx"]).select(
+        base = F.filter("gains", lambda e: e["idx"] == TERM)[0]["g"]
+        pairs = self.weights.withColumn("base", base).select("fold", "term", "base", F.inline("gains"))
+        return pairs.filter(F.col("idx") > TERM).join(F.broadcast(self.bias), ["fold", "idx"]).select(
             "fold", "term", "idx", (F.col("bias") + F.col("base") + F.col("g")).alias("weight"))
 
 
