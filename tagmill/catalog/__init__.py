@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES, Query
-from . import evaluate, keywords, labels, neighbours, noise, review, sampling  # noqa: F401
+from . import evaluate, keywords, labels, neighbours, noise, review, sampling, stages  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
