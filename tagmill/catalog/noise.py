@@ -346,7 +346,9 @@ def mismatch_query(spark, folder):
         F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("share_pct"), 5).alias("share_pct"))
 
 
-@query("mismatch_token_freq")
+@query("mismatch_token_freq", sql("""
+SELECT token, count(*) AS cnt FROM (SELECT trim(lower(term), '.,!?#') AS token FROM mismatch) WHERE length(token) > 2
+GROUP BY token ORDER BY cnt DESC, token LIMIT 20"""))
 def token_freq_query(spark, folder):
     return N.mismatch_token_freq(_mismatch_tokens(spark, folder))
 

@@ -59,7 +59,7 @@ def cache_query(spark, folder):
     return T.stage_cache(spark, path, compute)
 
 
-MAX_ITER, ML_TERMS = 20, 2000
+MAX_ITER, ML_TERMS = 10, 300
 
 
 def _features(spark, folder):
