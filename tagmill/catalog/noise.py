@@ -66,21 +66,30 @@ cte("probs", "SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS q FROM bi_probs
 
 
 def noisy(spark, folder):
-    """Document cases with flipped languages, spread by case, with fold and probe text."""
-    docs = views.flip_languages(I.docs(spark, folder))
+    """Document cases with flipped languages and their fold."""
+    return P.with_fold(views.flip_languages(I.docs(spark, folder)))
+
+
+def probe_texts(spark, folder):
     text = build_probe_text(F.col("service"), F.array_join("keywords", ", "), F.col("summary"))
-    return X.spread_by_case(P.with_fold(docs).withColumn("probe_text", text))
+    return views.document_texts(spark, folder).select("case_id", text.alias("probe_text"))
+
+
+def term_rows(spark, folder, bigrams=True, spread=True):
+    """(case_id, terms), hashed by case unless only counts over all cases are wanted."""
+    texts = probe_texts(spark, folder)
+    return X.with_terms(X.spread_by_case(texts) if spread else texts, F.col("probe_text"), bigrams).select("case_id", "terms")
 
 
 class Probed:
     """Bags, probe and probabilities of the document cases."""
 
     def __init__(self, spark, folder, bigrams: bool = True):
-        self.docs = X.with_terms(noisy(spark, folder), F.col("probe_text"), bigrams)
-        self.top = X.vocab_top_terms(self.docs.select("case_id", "terms"))
-        self.top = stage(self.top, "vocab")
-        self.vocab = bounded_values(L.tag_counts(L.binarize_labels(self.docs)), "tag")
-        self.bags = stage(X.bags(self.docs, self.top, "tags", "fold", "keywords"), "bags")
+        self.docs = term_rows(spark, folder, bigrams)
+        self.top = stage(X.vocab_top_terms(term_rows(spark, folder, bigrams, spread=False)), "vocab")
+        cases = noisy(spark, folder).select("case_id", "tags", "fold", "keywords")
+        self.vocab = bounded_values(L.tag_counts(L.binarize_labels(cases)), "tag")
+        self.bags = stage(X.bags(self.docs, self.top, cases), "bags")
         self.probe = P.NaiveBayesProbe(self.bags, self.vocab)
 
     def probs(self):
@@ -102,20 +111,20 @@ def input_text_query(spark, folder):
 
 @query("build_probe_text", sql("SELECT case_id, md5(probe_text) AS text_md5 FROM noisy_docs"))
 def probe_text_query(spark, folder):
-    return noisy(spark, folder).select("case_id", F.md5("probe_text").alias("text_md5"))
+    return probe_texts(spark, folder).select("case_id", F.md5("probe_text").alias("text_md5"))
 
 
 @query("vocab_top_terms", sql("SELECT term, tf, df FROM bi_vocab"))
 def vocab_query(spark, folder):
-    docs = X.with_terms(noisy(spark, folder), F.col("probe_text"))
-    return X.vocab_top_terms(docs)
+    return X.vocab_top_terms(term_rows(spark, folder, spread=False))
 
 
 @query("tfidf", sql("SELECT case_id, term, round(w, 6) AS w FROM tfidf"))
 def tfidf_query(spark, folder):
-    docs = X.with_terms(noisy(spark, folder), F.col("probe_text"))
-    top = X.vocab_top_terms(docs)
-    return _round(X.tfidf(X.term_counts(docs, top.select("term", "df")), docs.count()).select("case_id", "term", "w"), "w")
+    docs = term_rows(spark, folder)
+    top = stage(X.vocab_top_terms(term_rows(spark, folder, spread=False)), "vocab")
+    n = views.table(spark, folder, "documents").count()
+    return _round(X.tfidf(X.term_counts(docs, top.select("term", "df")), n).select("case_id", "term", "w"), "w")
 
 
 # ---- probabilities -----------------------------------------------------------------------
@@ -357,5 +366,5 @@ def token_freq_query(spark, folder):
 SELECT case_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM doc_tokens"""))
 def tokens_query(spark, folder):
     words = tokens(F.col("probe_text"))
-    return noisy(spark, folder).select("case_id", F.size(words).cast("bigint").alias("n_tokens"),
+    return probe_texts(spark, folder).select("case_id", F.size(words).cast("bigint").alias("n_tokens"),
                                        F.md5(F.array_join(words, " ")).alias("tokens_md5"))

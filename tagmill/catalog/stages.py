@@ -12,7 +12,7 @@ from ..plans.storage import fresh_path, stage
 from ..sources import tables as T
 from ..sources.views import table
 from . import inputs as I
-from .noise import Probed, noisy
+from .noise import Probed, noisy, probe_texts
 from .registry import query
 from .sql import sql
 
@@ -63,10 +63,10 @@ MAX_ITER, ML_TERMS = 10, 300
 
 
 def _features(spark, folder):
-    docs = X.with_terms(S.split_80_10_10(noisy(spark, folder)), F.col("probe_text"), bigrams=False)
-    top = X.vocab_top_terms(docs.select("case_id", "terms"), ML_TERMS)
-    names = [r["term"] for r in top.select("term").collect()]
-    return M.features(docs, names, "tags", "fold", "split")
+    docs = X.with_terms(probe_texts(spark, folder), F.col("probe_text"), bigrams=False).select("case_id", "terms")
+    names = [r["term"] for r in X.vocab_top_terms(docs, ML_TERMS).select("term").collect()]
+    cases = S.split_80_10_10(noisy(spark, folder)).select("case_id", "tags", "fold", "split")
+    return M.features(docs.join(cases, "case_id"), names, "tags", "fold", "split")
 
 
 @query("routed_probabilities")

@@ -10,7 +10,7 @@ MAX_TERMS = 15_000
 
 
 def spread_by_case(cases: DataFrame) -> DataFrame:
-    """Hash the cases over the shuffle partitions, once and while rows are still short:
+    """Hash the cases over the shuffle partitions, once and before texts are taken apart:
     everything later done per case (counts, norms, scores) then needs no shuffle."""
     n = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cases.repartition(n, "case_id")
@@ -57,13 +57,13 @@ def tfidf(counts: DataFrame, n_cases: int) -> DataFrame:
     return raw.withColumn("w", F.col("raw") / norm).drop("raw")
 
 
-def bags(docs: DataFrame, vocab: DataFrame, *carry: str) -> DataFrame:
-    """One row per case, empty ones included: the carried columns and bag array<(term, tf)>.
+def bags(docs: DataFrame, vocab: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per case, empty ones included: its columns and bag array<(term, tf)>.
 
-    At most one entry per vocabulary term and case.
+    ``docs`` has (case_id, terms), ``cases`` the columns to keep; the texts themselves do
+    not take part in the join. At most one entry per vocabulary term and case.
     """
     counted = term_counts(docs, vocab.select("term")).groupBy("case_id").agg(
         F.sort_array(F.collect_list(F.struct("term", F.col("n").alias("tf")))).alias("bag"))
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return docs.select("case_id", *carry).join(counted, "case_id", "left").withColumn(
-        "bag", F.coalesce("bag", empty))
+    return cases.join(counted, "case_id", "left").withColumn("bag", F.coalesce("bag", empty))

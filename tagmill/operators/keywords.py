@@ -10,7 +10,6 @@ from ..functions.fuzzy import indel_ratio, token_sort
 from ..functions.text import normalize_keyword, tokens
 from ..functions.vectors import cosine
 from ..plans.bounded import small_side
-from .features import spread_by_case
 
 # Verdict thresholds, weights and wording of the audit log.
 KEEP_FROM, REVIEW_FROM = 0.50, 0.40
@@ -74,7 +73,7 @@ def fuzzy_candidates(raws: DataFrame, masters: DataFrame, threshold: float) -> D
     allowed = F.floor(total * (1 - t) + 1e-9).cast("int")
     near = (F.abs(F.col("r_at") - F.col("m_at")) <= F.col("k")) & (
         F.abs(F.length("r") - F.length("m")) <= allowed)
-    pairs = r.join(m, "gram").filter(near).select("r", "m").distinct().withColumn("allowed", allowed)
+    pairs = r.join(small_side(m), "gram").filter(near).select("r", "m").distinct().withColumn("allowed", allowed)
     return pairs.filter(F.expr("levenshtein(r, m, allowed) >= 0")).select("r", "m")
 
 
@@ -112,9 +111,11 @@ def unmatched_keywords(rows: DataFrame, matches: DataFrame) -> DataFrame:
 # ---- tone ----------------------------------------------------------------------------------
 
 def lexicon_sentiment(cases: DataFrame, lexicon: DataFrame, text: str = "summary") -> DataFrame:
-    """Tone of each text: s = sum of word valences, compound = s / sqrt(s^2 + 15)."""
-    words = spread_by_case(cases.select("case_id", text)).select(
-        "case_id", F.explode_outer(tokens(F.col(text))).alias("word"))
+    """Tone of each text: s = sum of word valences, compound = s / sqrt(s^2 + 15).
+
+    A text's words are summed where they are read; one row per case is shuffled.
+    """
+    words = cases.select("case_id", F.explode_outer(tokens(F.col(text))).alias("word"))
     total = F.sum(F.coalesce("valence", F.lit(0.0)))
     sums = words.join(small_side(lexicon), "word", "left").groupBy("case_id").agg(total.alias("s"))
     compound = F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.bounded import small_side, string_array
+from ..plans.storage import stage
 from .labels import route_tags
 
 NOISE_THRESHOLD = 0.3
@@ -174,6 +175,7 @@ def max_similarity_to_positives(cases: DataFrame, features: DataFrame, tags: lis
     best = dots.groupBy("case_id", "tag").agg(F.max("sim").alias("sim"))
     cells = cases.select("case_id", F.explode(wanted).alias("tag")).join(best, ["case_id", "tag"], "left").select(
         "case_id", "tag", F.coalesce("sim", F.lit(0.0)).alias("similarity"))
+    cells = stage(cells, "similar")
     spans = cells.groupBy("tag").agg(F.min("similarity").alias("lo"), F.max("similarity").alias("hi"))
     s = F.col("similarity")
     return cells.join(F.broadcast(spans), "tag").select(

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rand import pick, uniform
-from ..plans.bounded import small_side, string_array
+from ..plans.bounded import small_side
 from ..plans.ranking import exact_rank, top_per_key
 from ..plans.storage import stage
 from .labels import binarize_labels, tag_counts
@@ -55,7 +55,7 @@ def smart_sample(cases: DataFrame, target: int = 3500, quota: int = 20) -> DataF
     """The keyword quotas, filled up to ``target`` cases by inverse frequency."""
     chosen = stage(quota_sample(cases, quota), "quota")
     missing = max(0, target - chosen.count())
-    rest = cases.join(chosen, "case_id", "left_anti")
+    rest = cases.join(small_side(chosen), "case_id", "left_anti")
     n_rest_weight = inverse_freq_fill(rest, missing, keyword_counts(cases)).select("case_id")
     return chosen.withColumn("phase", F.lit("quota")).unionByName(
         n_rest_weight.withColumn("phase", F.lit("fill")))
@@ -63,7 +63,7 @@ def smart_sample(cases: DataFrame, target: int = 3500, quota: int = 20) -> DataF
 
 def keyword_coverage(cases: DataFrame, sample: DataFrame, minimum: int = 10) -> DataFrame:
     """Cases per keyword before and after sampling, and whether the minimum is missed."""
-    short = keyword_counts(cases.join(sample.select("case_id"), "case_id", "left_semi"))
+    short = keyword_counts(cases.join(small_side(sample.select("case_id")), "case_id", "left_semi"))
     both = keyword_counts(cases).withColumnRenamed("cnt", "count_full").join(
         short.withColumnRenamed("cnt", "count_short"), "keyword", "full_outer")
     count_short = F.coalesce("count_short", F.lit(0))
@@ -73,12 +73,15 @@ def keyword_coverage(cases: DataFrame, sample: DataFrame, minimum: int = 10) ->
 
 # ---- shortlisting ----------------------------------------------------------------------
 
+def _ordered_sum(values: Column) -> Column:
+    """Sum in ascending order, so that it does not depend on how rows arrive."""
+    return F.aggregate(F.sort_array(values), F.lit(0.0), lambda a, v: a + v)
+
+
 def rarity(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """Sum of inverse tag counts per case, added in ascending order so that the result
-    does not depend on how rows arrive."""
+    """Sum of inverse tag counts per case."""
     inverse = labels.join(small_side(counts), "tag").select("case_id", (1.0 / F.col("cnt")).alias("v"))
-    total = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, v: a + v)
-    return inverse.groupBy("case_id").agg(total.alias("rarity"))
+    return inverse.groupBy("case_id").agg(_ordered_sum(F.collect_list("v")).alias("rarity"))
 
 
 def rarity_rank(labels: DataFrame, counts: DataFrame) -> DataFrame:
@@ -92,9 +95,11 @@ def shortlist_min(labels: DataFrame, target_min: int) -> DataFrame:
     times; up to that point all earlier cases with the tag were kept, so the coverage is
     the case's rank within the tag. That makes the pass a top-k per tag.
     """
-    scores = rarity(labels, tag_counts(labels))
+    inverse = labels.join(small_side(tag_counts(labels)), "tag").withColumn("v", 1.0 / F.col("cnt"))
+    score = _ordered_sum(F.collect_list("v").over(W.partitionBy("case_id")))
     order = [F.desc("rarity"), F.col("case_id")]
-    ranked = top_per_key(labels.join(scores, "case_id"), ["tag"], order, target_min, "case_id")
+    scored = inverse.select("case_id", "tag", score.alias("rarity"))
+    ranked = top_per_key(scored, ["tag"], order, target_min, "case_id")
     return ranked.select("case_id").distinct()
 
 
@@ -189,16 +194,12 @@ def undersample_dominant(train: DataFrame, dominant_freq: float = 0.5) -> DataFr
 
 def inverse_freq_weights(cases: DataFrame, weight: str | None = None) -> DataFrame:
     """Sampling weight per case from its tags' counts, times a given weight if any."""
-    labels = binarize_labels(cases)
+    given = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
+    labels = cases.select("case_id", given.alias("g"), F.explode(F.array_distinct("tags")).alias("tag"))
     parts = labels.join(small_side(tag_counts(labels)), "tag").select(
-        "case_id", (1.0 / (F.col("cnt") + 1e-6)).alias("v"))
-    total = F.aggregate(F.sort_array(F.collect_list("v")), F.lit(0.0), lambda a, v: a + v)
-    sums = parts.groupBy("case_id").agg(total.alias("s"))
-    if weight is None:
-        return sums.select("case_id", F.col("s").alias("weight"))
-    given = F.coalesce(F.col(weight), F.lit(1.0))
-    return cases.select("case_id", given.alias("g")).join(sums, "case_id").select(
-        "case_id", (F.col("g") * (F.col("s") + 1e-6)).alias("weight"))
+        "case_id", "g", (1.0 / (F.col("cnt") + 1e-6)).alias("v"))
+    sums = parts.groupBy("case_id").agg(F.max("g").alias("g"), _ordered_sum(F.collect_list("v")).alias("s"))
+    return sums.select("case_id", (F.col("g") * (F.col("s") + (1e-6 if weight else 0.0))).alias("weight"))
 
 
 BLOCKS, FAN = 1024, 32

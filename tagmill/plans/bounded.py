@@ -33,3 +33,12 @@ def bounded_values(df: DataFrame, column: str, max_rows: int = MAX_ROWS) -> list
 def string_array(values: list[str]) -> Column:
     """A constant ``array<string>`` (folded to a literal by the optimizer)."""
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    Only a small input in few files is moved; one with enough splits is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SALTS = 64
+SALTS = 256
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int,

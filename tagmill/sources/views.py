@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.rand import uniform
-from ..plans.bounded import string_array
+from ..plans.bounded import string_array, widen
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,9 +57,16 @@ def _render_tags(cid: Column, tags: Column) -> Column:
     )
 
 
+def document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as cases without tags, for steps that need the text alone."""
+    return widen(table(spark, folder, "documents")).select(
+        F.col("doc_id").alias("case_id"), F.col("text").alias("summary"),
+        F.col("source").alias("service"), F.array("lang").alias("keywords"))
+
+
 def document_cases(spark: SparkSession, folder: str) -> DataFrame:
     """One case per document, tagged by language, length and the known labels."""
-    docs = table(spark, folder, "documents")
+    docs = widen(table(spark, folder, "documents"))
     marks = table(spark, folder, "labels").select(
         F.col("doc_id"), F.col("quality").alias("is_quality"), F.col("toxic").alias("is_toxic"))
     tags = F.array(

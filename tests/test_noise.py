@@ -27,7 +27,7 @@ def docs(spark):
 def probed(docs):
     d = X.with_terms(P.with_fold(X.spread_by_case(docs)), F.col("text"))
     vocab = X.vocab_top_terms(d)
-    bags = stage(X.bags(d, vocab, "tags", "fold"), "t-bags")
+    bags = stage(X.bags(d.select("case_id", "terms"), vocab, d.select("case_id", "tags", "fold")), "t-bags")
     probe = P.NaiveBayesProbe(bags, ["fruit", "metal"])
     return probe, bags
 
@@ -59,7 +59,7 @@ def test_probe_in_tag_runs_is_the_same(probed, monkeypatch):
 def test_case_without_terms_gets_one_half(spark, docs):
     extra = docs.unionByName(spark.createDataFrame([(999, "", ["fruit"])], docs.schema))
     d = X.with_terms(P.with_fold(X.spread_by_case(extra)), F.col("text"))
-    bags = stage(X.bags(d, X.vocab_top_terms(d), "tags", "fold"), "t-bags")
+    bags = stage(X.bags(d.select("case_id", "terms"), X.vocab_top_terms(d), d.select("case_id", "tags", "fold")), "t-bags")
     cells = P.NaiveBayesProbe(bags, ["fruit", "metal"]).probabilities(bags).filter("case_id = 999").first()["cells"]
     assert [c["p"] for c in cells] == [0.5, 0.5]
 
