@@ -113,9 +113,10 @@ def judge_cells(cells: DataFrame, tag_info: DataFrame) -> DataFrame:
 
 
 def confusion(judged: DataFrame) -> DataFrame:
+    """Counts per tag. Category and threshold depend on the tag alone; as grouping keys
+    they keep the aggregate a hash aggregate, which a first-string would not."""
     y, hit = F.col("y") == 1, F.col("pred") == 1
-    return judged.groupBy("tag").agg(
-        F.any_value("category").alias("category"), F.any_value("threshold").alias("threshold"),
+    return judged.groupBy("tag", "category", "threshold").agg(
         F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"),
         F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"),
         F.avg(F.when(hit, F.col("p") * 100)).alias("avg_conf"))
