@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.parse import parse_flag
 from ..plans.bounded import bounded_values, string_array
 
+NARROW_TAGS = 2_000
+
 
 def drop_untagged(cases: DataFrame) -> DataFrame:
     return cases.filter(F.size("tags") > 0)
@@ -54,12 +56,12 @@ def dropped_tags(counts: DataFrame, min_samples: int) -> DataFrame:
 def drop_rare_tags(cases: DataFrame, min_samples: int, counts: DataFrame | None = None) -> DataFrame:
     """Keep tags with enough cases, then the cases that still carry one.
 
-    A vocabulary within the bound is intersected row by row without a shuffle; a larger
-    one is joined and the arrays are built again per case.
+    A vocabulary of up to ``NARROW_TAGS`` is intersected row by row without a shuffle; a
+    larger one is joined and the arrays are built again per case.
     """
     labels = binarize_labels(cases)
     keep = kept_tags(counts if counts is not None else tag_counts(labels), min_samples)
-    names = bounded_values(keep, "tag")
+    names = bounded_values(keep, "tag", NARROW_TAGS)
     if names is not None:
         trimmed = F.array_sort(F.array_intersect("tags", string_array(names)))
         return drop_untagged(cases.withColumn("tags", trimmed))
