@@ -21,7 +21,7 @@ def typed_keywords(cases):
     k = F.col("k")
     words = F.split(k, " ")
     typed = (
-        F.when(kind == 1, F.concat(F.substring(k, 1, 3), F.substring(k, 3, 50)))
+        F.when(kind == 1, F.concat(F.substring(k, 1, 3), F.expr("substring(k, 3)")))
         .when(kind == 2, F.regexp_replace(k, " ", "  "))
         .when(kind == 3, F.concat(F.element_at(words, -1), F.lit(" "), F.element_at(words, 1)))
         .when(kind == 4, F.concat(F.lit("#"), F.upper(k), F.lit("!")))
@@ -37,7 +37,7 @@ def master_list(spark, folder):
 
 
 cte("typed", f"""
-SELECT case_id, CASE kind WHEN 1 THEN substr(k, 1, 3) || substr(k, 3, 50) WHEN 2 THEN replace(k, ' ', '  ')
+SELECT case_id, CASE kind WHEN 1 THEN substr(k, 1, 3) || substr(k, 3) WHEN 2 THEN replace(k, ' ', '  ')
   WHEN 3 THEN string_split(k, ' ')[-1] || ' ' || string_split(k, ' ')[1] WHEN 4 THEN '#' || upper(k) || '!'
   WHEN 5 THEN substr(k, 1, 5) ELSE k END AS keyword
 FROM (SELECT case_id, keyword AS k, floor({u('typo', "case_id||':'||keyword")} * 7)::INT AS kind FROM case_kw)""")

@@ -67,7 +67,7 @@ def corrections(cases):
     """Corrections derived from the cases: some blank, some repeated, some unknown."""
     cid = F.col("case_id")
     text = F.when(cid % 7 == 0, "  ").otherwise(F.concat(F.array_join(F.slice(
-        "tags", 2, 1000), ", "), F.lit(" , fixed:"), (cid % 3).cast("string")))
+        "tags", 2, F.greatest(F.size("tags"), F.lit(1))), ", "), F.lit(" , fixed:"), (cid % 3).cast("string")))
     hit = cases.filter(F.col("quality") < 0.3).select(cid.alias("case_id"), F.lit(1).alias("seq"), text.alias("t"))
     again = hit.filter(F.col("case_id") % 5 == 0).select(
         "case_id", F.lit(2).alias("seq"), F.lit("second, look").alias("t"))

@@ -146,8 +146,9 @@ def weights_query(spark, folder):
 
 @query("weighted_resample", sql(f"""
 WITH items AS (
-  SELECT case_id, greatest(round(weight * 1e9::DOUBLE), 1)::BIGINT AS q, floor({u('block', 'case_id')} * 1024)::INT AS block
-  FROM inv_w),
+  SELECT case_id, greatest(floor(steps * (4503599627370496::DOUBLE / (sum(steps::HUGEINT) OVER ())::DOUBLE)), 1)::BIGINT AS q,
+         floor({u('block', 'case_id')} * 1024)::INT AS block
+  FROM (SELECT case_id, greatest(floor(weight / (max(weight) OVER ()) * 1099511627776::DOUBLE), 1) AS steps FROM inv_w)),
 placed AS (SELECT case_id, (sum(q) OVER (ORDER BY block, case_id) - q)::BIGINT AS lo FROM items),
 draws AS (SELECT floor({u('draw', 'id')} * (SELECT sum(q) FROM items)::DOUBLE)::BIGINT AS x
   FROM (SELECT unnest(range((SELECT count(*) FROM items))) AS id))

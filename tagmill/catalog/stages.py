@@ -72,7 +72,7 @@ def _features(spark, folder):
 @query("routed_probabilities")
 def routed_query(spark, folder):
     rows = _features(spark, folder)
-    routes = L.route_tags(L.tag_counts(L.binarize_labels(rows))).limit(1000).collect()
+    routes = L.route_tags(L.tag_counts(L.binarize_labels(rows))).collect()
     return M.routed_probabilities(rows, {r["tag"]: r["probe"] for r in routes}, max_iter=MAX_ITER)
 
 

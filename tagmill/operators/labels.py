@@ -56,8 +56,9 @@ def dropped_tags(counts: DataFrame, min_samples: int) -> DataFrame:
 def drop_rare_tags(cases: DataFrame, min_samples: int, counts: DataFrame | None = None) -> DataFrame:
     """Keep tags with enough cases, then the cases that still carry one.
 
-    A vocabulary of up to ``NARROW_TAGS`` is intersected row by row without a shuffle; a
-    larger one is joined and the arrays are built again per case.
+    Tags are kept once each, in order. A vocabulary of up to ``NARROW_TAGS`` is intersected
+    row by row without a shuffle; with a larger one each distinct list of tags is joined
+    with it and goes back to the rows that have this list, to the same result.
     """
     labels = binarize_labels(cases)
     keep = kept_tags(counts if counts is not None else tag_counts(labels), min_samples)
@@ -65,9 +66,10 @@ def drop_rare_tags(cases: DataFrame, min_samples: int, counts: DataFrame | None
     if names is not None:
         trimmed = F.array_sort(F.array_intersect("tags", string_array(names)))
         return drop_untagged(cases.withColumn("tags", trimmed))
-    regrouped = labels.join(keep.select("tag"), "tag", "left_semi").groupBy("case_id").agg(
-        F.array_sort(F.collect_list("tag")).alias("tags"))
-    return cases.drop("tags").join(regrouped, "case_id").select(cases.columns)
+    lists = cases.select("tags").distinct().select("tags", F.explode(F.array_distinct("tags")).alias("tag"))
+    trimmed = lists.join(keep.select("tag"), "tag", "left_semi").groupBy("tags").agg(
+        F.array_sort(F.collect_list("tag")).alias("_kept"))
+    return cases.join(trimmed, "tags").withColumn("tags", F.col("_kept")).select(cases.columns)
 
 
 def normalize_flags(cases: DataFrame, columns: list[str]) -> DataFrame:

@@ -205,10 +205,15 @@ def inverse_freq_weights(cases: DataFrame, weight: str | None = None) -> DataFra
 BLOCKS, FAN = 1024, 32
 
 
-def weighted_resample(weights: DataFrame, n: int | None = None, scale: float = 1e9) -> DataFrame:
+STEPS, RANGE = float(1 << 40), float(1 << 52)
+
+
+def weighted_resample(weights: DataFrame, n: int | None = None) -> DataFrame:
     """How often each case is drawn in n draws with replacement, in proportion to weight.
 
-    Weights become integers, so positions do not depend on the order of additions. Cases
+    Weights become integers, so positions do not depend on the order of additions: steps of
+    the largest weight / 2^40, then their share of 2^52 positions, whatever the weights'
+    unit. A weight below a step counts as one step; a null one or one of zero or less, too. Cases
     are hashed into blocks; a draw finds its block in the list of block offsets and its
     case by a forward fill inside the block. A block that a heavy case makes popular is
     cut into as many parts as its share of the weight asks for, each with a copy of the
@@ -216,10 +221,13 @@ def weighted_resample(weights: DataFrame, n: int | None = None, scale: float = 1
     share of the draws.
     """
     spark = weights.sparkSession
-    items = weights.select(
-        "case_id", F.greatest(F.round(F.col("weight") * scale), F.lit(1.0)).cast("bigint").alias("q"),
-        pick(uniform("block", "case_id"), BLOCKS).alias("block"))
-    items = stage(items, "resample")
+    most = weights.agg(F.max("weight")).first()[0]
+    share = F.floor(F.col("weight") / F.lit(most) * STEPS) if most and most > 0 else F.lit(1.0)
+    steps = weights.select("case_id", F.greatest(share, F.lit(1.0)).cast("double").alias("steps"),
+                           pick(uniform("block", "case_id"), BLOCKS).alias("block"))
+    steps = stage(steps, "resample")
+    whole = steps.agg(F.sum(F.col("steps").cast("decimal(38,0)"))).first()[0] or 1
+    items = steps.select("case_id", "block", F.greatest(F.floor(F.col("steps") * (RANGE / float(whole))), F.lit(1)).cast("bigint").alias("q"))
     mass = {r["block"]: (r["m"], r["c"]) for r in
             items.groupBy("block").agg(F.sum("q").alias("m"), F.count(F.lit(1)).alias("c")).collect()}
     offsets, parts, total = [], [], 0

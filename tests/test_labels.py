@@ -58,3 +58,12 @@ def test_routes_cover_every_tag(spark):
     counts = spark.createDataFrame([("a", 100), ("b", 99), ("c", 30), ("d", 29)], "tag string, cnt long")
     assert {r["tag"]: r["probe"] for r in L.route_tags(counts).collect()} == {
         "a": "LR", "b": "MLP", "c": "MLP", "d": "XGB"}
+
+
+def test_rare_tags_do_not_depend_on_the_vocabulary_size(spark, monkeypatch):
+    rows = [(1, ["a", "b"]), (1, ["b", "c"]), (2, ["a", "b"])]
+    cases = spark.createDataFrame(rows, "case_id long, tags array<string>")
+    one = sorted((r["case_id"], r["tags"]) for r in L.drop_rare_tags(cases, 2).collect())
+    monkeypatch.setattr(L, "NARROW_TAGS", 0)
+    assert one == sorted((r["case_id"], r["tags"]) for r in L.drop_rare_tags(cases, 2).collect())
+    assert one == [(1, ["a", "b"]), (1, ["b"]), (2, ["a", "b"])]

@@ -86,3 +86,12 @@ def test_perturb_keeps_short_texts_and_words(spark):
         lengths[r["case_id"] % 3].add(len(r["p"].split()))
         assert set(r["p"].split()) <= set(r["t"].split())
     assert lengths[0] == {3} and lengths[1] == {7, 11} and lengths[2] == {29, 30, 36}
+
+
+@pytest.mark.parametrize("unit", [1e-9, 1.0, 1e9])
+def test_resample_any_unit(spark, unit):
+    rows = [(i, unit * (0.6 if i % 2 else 1.4)) for i in range(400)]
+    drawn = S.weighted_resample(spark.createDataFrame(rows, "case_id long, weight double"), 20_000).collect()
+    assert sum(r["copies"] for r in drawn) == 20_000 and all(r["case_id"] is not None for r in drawn)
+    light = sum(r["copies"] for r in drawn if r["case_id"] % 2)
+    assert abs(light / 20_000 - 0.3) < 0.02
