@@ -132,7 +132,7 @@ def _used(placed: DataFrame, blocks: list[int], slots: list[int], block: int, sh
         F.sequence(F.floor(F.col("first") / block), last)).alias("block"))
     start = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
     stop = F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))
-    return (spans.withColumn("start", start).withColumn("stop", stop).join(drawn, ["s", "block"])
+    return (spans.withColumn("start", start).withColumn("stop", stop).join(drawn.hint("merge"), ["s", "block"])  # no size is known before the draw
             .withColumn("words", F.col("stop") - F.col("start")))
 
 
