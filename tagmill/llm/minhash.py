@@ -8,11 +8,15 @@ full sets of 64-bit shingle hashes. With 40 bands of 6, a pair at similarity 0.8
 with a probability of about 5e-6, a closer one less often.
 
 Large groups. Documents with equal sets are one class from the start (128-bit digest), so
-copies are never paired. Inside a band's group no pairs are made up front: each group is
-compared to one hub, links are contracted to components, and a second round takes another
-hub. Only what is then still in different components of one group is compared pair by
-pair, and only where the sizes allow the threshold. The result does not depend on which
-hubs were taken, as no pair of a group that could join two components goes untested.
+copies are never paired. Inside a band's group no pairs are made up front: its members are
+compared to a hub and links are contracted to components; then, in a few rounds, those
+outside the group's main component are compared to some more of its members. What is still
+in different components of one group after that is compared pair by pair, but only pairs
+that can reach the threshold: two sets whose sizes ask for an overlap of k share one of
+their rarest size - k + 1 shingles (prefix filtering, exact under any one order of
+shingles). The result does not
+depend on which hubs were taken, as no pair of a group that could join two components goes
+untested.
 """
 
 from __future__ import annotations
@@ -25,15 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.bounded import small_side
 from ..plans.storage import stage
 from .components import components
-from .words import WORD, WordHashes, mix, rolling
+from .words import mix, rolling, word_hashes
 
 WORDS = 5
 THRESHOLD = (80, 100)
 BANDS, ROWS = 40, 6
 UNIVERSE = 1 << 20
-HUB_ROUNDS = 2
+#: Hubs per group in each round before the remaining pairs are compared.
+HUBS = (1, 4)
+#: Shingles are ordered by how often their slot of this many is met: a fixed 1 MB on every machine.
+SLOTS = 1 << 18
 
 
 @cache
@@ -44,11 +52,10 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate([second, second[:BANDS * ROWS]])
 
 
-def shingle_set(text: str | None, words: int, cached: WordHashes) -> np.ndarray:
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes; fewer words than ``words`` make one shingle, none make none."""
-    found = WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    hashes = cached.of(found)
-    return np.unique(rolling(hashes, min(words, len(found)))) if found else hashes
+    lowered = [None if t is None else t.lower() for t in texts.cast(pa.binary()).to_pylist()]  # A-Z only, as these are bytes
+    return [np.unique(rolling(h, min(words, len(h)))) if len(h) else h for h in word_hashes(lowered)]
 
 
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -100,11 +107,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = T
 
 def _signer(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t, words, cached) for t in part.column("text").to_pylist()]
+                sets = shingle_sets(part.column("text"), words)
                 filled = [s for s in sets if len(s)]
                 keys = iter(band_keys(filled).astype(np.int64).tolist() if filled else [])
                 yield pa.RecordBatch.from_arrays([
@@ -123,17 +129,22 @@ def _linked(rows: DataFrame, classes: DataFrame, words: int, threshold: tuple[in
                                           F.bit_xor(print_of).alias("x")).where("m > 1"))
     # Bands that gather the same documents are one group.
     groups = groups.groupBy("m", "s", "x").agg(F.min("band").alias("band")).select("band")
-    members = stage(rows_of.join(groups, "band"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stage(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "doc_id long, items binary")
-                 .distinct(), "sets")
+    members = stage(rows_of.join(small_side(groups), "band"), "members")
+    # Texts move only if the documents in question are too many to send their ids instead.
+    wanted = small_side(members.select(F.col("rep").alias("doc_id")).distinct())
+    sets = stage(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "doc_id long, items binary"), "sets")
     labels = members.select("rep").distinct().withColumn("component", F.col("rep"))
     tested = None
-    for turn in range(HUB_ROUNDS + 1):
-        now = stage(members.join(labels, "rep"), "labelled")
-        open_groups = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        now = now.join(open_groups.select("band"), "band", "left_semi")
-        pairs = _star(now, turn, threshold) if turn < HUB_ROUNDS else _rest(now, threshold)
+    for turn in range(len(HUBS) + 1):
+        members = members.drop("component").join(labels, "rep")
+        parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+        main = parts.groupBy("band").agg(F.max(F.struct("m", (-F.col("component")).alias("c"))).alias("main"), F.count(F.lit(1)).alias("parts"))
+        # Groups that are one component are done with.
+        members = stage(members.join(main.where("parts > 1").select("band", (-F.col("main.c")).alias("main")), "band"), "members")
+        if members.isEmpty():
+            break
+        pairs = _star(members, turn, HUBS[turn], threshold) if turn < len(HUBS) else _rest(members, sets, threshold)
+        members = members.drop("main")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -148,38 +159,80 @@ def _sizes_allow(n: Column, m: Column, threshold: tuple[int, int]) -> Column:
     return F.least(n, m) * threshold[1] >= F.greatest(n, m) * threshold[0]
 
 
-def _star(now: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
-    """Each group's members against one hub: the smallest, then one drawn by hash."""
-    first = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
-    hubs = now.groupBy("band").agg(F.min(F.struct(first.alias("o"), "rep", "n", "component")).alias("h"))
-    star = (now.join(hubs, "band").where(F.col("component") != F.col("h.component"))
-            .where(_sizes_allow(F.col("n"), F.col("h.n"), threshold)))
+def _star(members: DataFrame, turn: int, hubs: int, threshold: tuple[int, int]) -> DataFrame:
+    """Members outside a group's main component against up to ``hubs`` drawn from inside."""
+    drawn = F.xxhash64(F.lit(turn), "rep")
+    heart = (members.where("component = main").groupBy("band", F.pmod(drawn, F.lit(hubs)).alias("slot"))
+             .agg(F.min(F.struct(drawn.alias("o"), "rep", "n")).alias("h")).select("band", "h"))
+    star = members.where("component != main").join(heart, "band").where(_sizes_allow(F.col("n"), F.col("h.n"), threshold))
     return star.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
 
 
-def _rest(now: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """What is still apart in a group: members of unlike components, of sizes that allow a link.
-
-    Sizes meet over an equi-join on size classes, each step of which is as wide as the
-    threshold allows, so only neighbouring classes are looked at.
-    """
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(threshold[1] / threshold[0])))
-    left = now.select("band", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), step.alias("size"))
-    right = now.select("band", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"),
-                       F.explode(F.array(step - 1, step, step + 1)).alias("size"))
-    return (left.join(right, ["band", "size"]).where("a < b and ac != bc")
-            .where(_sizes_allow(F.col("an"), F.col("bn"), threshold)).select("a", "b").distinct())
+def _rest(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs of unlike components that share a rare shingle and have sizes that allow a link."""
+    left = members.select("rep", "component").distinct()
+    full = sets.join(left, F.col("doc_id") == F.col("rep")).select("rep", "component", "items")
+    counts = full.mapInArrow(_slot_counts, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int32)
+    often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), np.iinfo(np.int32).max)
+    shared = members.sparkSession.sparkContext.broadcast(often)
+    rare = stage(full.mapInArrow(_rarest(shared, threshold), "rep long, n long, component long, shingle long, place long"), "rare")
+    shared.unpersist()
+    parts = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = (parts.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+            .where("parts > 1").select("shingle", F.col("main.component").alias("main")))
+    placed = rare.join(main, "shingle")
+    one = placed.where("component != main").select("shingle", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"),
+                                                       F.col("place").alias("xplace"))
+    overlap = F.ceil((F.col("n") + F.col("xn")) * threshold[0] / (threshold[0] + threshold[1]) - 1e-9)
+    pairs = placed.join(one, "shingle").where("component != xc").where(
+        (F.col("place") <= F.col("n") - overlap) & (F.col("xplace") <= F.col("xn") - overlap))
+    return pairs.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+
+
+def _slots(items: np.ndarray) -> np.ndarray:
+    return (mix(items) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for items in batch.column("items").to_pylist():
+            total[_slots(np.frombuffer(items, np.uint64))] += 1
+    met = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(met.astype(np.int32)), "n": pa.array(total[met].astype(np.int32))})
+
+
+def _rarest(shared, threshold: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            reps, ns, components_, shingles, places = [], [], [], [], []
+            for rep, component, items in zip(*(batch.column(c).to_pylist() for c in ("rep", "component", "items"))):
+                own = np.frombuffer(items, np.uint64)
+                count = often[_slots(own)]
+                first = np.lexsort((own, count))[:len(own) - -(-len(own) * threshold[0] // threshold[1]) + 1]
+                place = np.flatnonzero(count[first] > 1)  # what is met once is in no other set
+                first = first[place]
+                reps.append(np.full(len(first), rep))
+                ns.append(np.full(len(first), len(own)))
+                components_.append(np.full(len(first), component))
+                shingles.append(own[first].view(np.int64))
+                places.append(place)
+            if reps:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (reps, ns, components_, shingles, places)],
+                                                 names=["rep", "n", "component", "shingle", "place"])
+    return run
 
 
 def _setter(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"),
-                    pa.array([shingle_set(t, words, cached).tobytes() for t in part.column("text").to_pylist()], pa.binary())],
+                    pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())],
                     names=["doc_id", "items"])
     return run
 
@@ -200,7 +253,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                     vs.append(b)
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    full = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+    full = (small_side(pairs.select("a", "b")).join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"))
     return full.mapInArrow(run, "u long, v long")
 
