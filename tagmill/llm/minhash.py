@@ -253,7 +253,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                     vs.append(b)
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    full = (small_side(pairs.select("a", "b")).join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+    full = (small_side(pairs.select("a", "b"), max_rows=1_000_000).join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"))
     return full.mapInArrow(run, "u long, v long")
 
