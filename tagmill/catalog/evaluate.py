@@ -47,14 +47,17 @@ def tune_query(spark, folder):
 
 
 @query("attach_thresholds", sql("""
-SELECT p.case_id, p.tag, p.y, round(p.p, 6) AS p, round(coalesce(t.threshold, 0.5), 6) AS threshold,
-  coalesce(t.category, 'normal') AS category
-FROM preds p LEFT JOIN (SELECT * FROM tag_info WHERE category <> 'normal') t USING (tag)"""))
+SELECT p.case_id, count(*) AS n_cells, md5(string_agg(concat_ws(':', tag, p.y, round(p.p * 1e6)::BIGINT,
+  round(coalesce(t.threshold, 0.5) * 1e6)::BIGINT, coalesce(t.category, 'normal')), '|' ORDER BY tag)) AS cells_md5
+FROM preds p LEFT JOIN (SELECT * FROM tag_info WHERE category <> 'normal') t USING (tag) GROUP BY p.case_id"""))
 def attach_query(spark, folder):
     s = I.scored(spark, folder)
     known = s.tag_info().filter(F.col("category") != "normal")
     out = E.attach_thresholds(s.cells(), known)
-    return _round(out.select("case_id", "tag", "y", "p", "threshold", "category"), "p", "threshold")
+    micro = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+    said = F.concat_ws(":", "tag", "y", micro("p"), micro("threshold"), "category")
+    cells = F.array_sort(F.collect_list(F.struct("tag", said.alias("said"))))
+    return out.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_cells"), F.md5(F.array_join(cells["said"], "|")).alias("cells_md5"))
 
 
 @query("per_tag_metrics", sql("""

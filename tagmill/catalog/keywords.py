@@ -179,9 +179,19 @@ def validate_query(spark, folder):
 @query("verdict_summary", sql("""
 SELECT verdict, count(*) AS cnt FROM audit GROUP BY verdict
 UNION ALL SELECT CASE WHEN k THEN 'cases with verified' ELSE 'cases without verified' END, count(*) FROM (
-  SELECT case_id, bool_or(verdict = 'KEEP') AS k FROM audit GROUP BY case_id) GROUP BY 1"""))
+  SELECT vec_id, coalesce(bool_or(verdict = 'KEEP'), false) AS k FROM embeddings LEFT JOIN audit ON vec_id = case_id GROUP BY vec_id) GROUP BY 1"""))
 def verdict_query(spark, folder):
-    return K.verdict_summary(stage(_audit(spark, folder), "audit"))
+    return K.verdict_summary(stage(_audit(spark, folder), "audit"), _vectors(spark, folder)[0])
+
+
+@query("keyword_outcomes", sql("""
+SELECT vec_id AS case_id, coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER (verdict = 'KEEP'), '') AS verified,
+  coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER (verdict = 'REMOVE'), '') AS removed,
+  coalesce(string_agg(keyword, '|' ORDER BY keyword) FILTER (verdict = 'REVIEW'), '') AS review
+FROM embeddings LEFT JOIN audit ON vec_id = case_id GROUP BY vec_id"""))
+def outcomes_query(spark, folder):
+    out = K.keyword_outcomes(_vectors(spark, folder)[0].select("case_id"), _audit(spark, folder))
+    return out.select("case_id", *(F.array_join(c, "|").alias(c) for c in ("verified", "removed", "review")))
 
 
 @query("validated_cases", sql("""

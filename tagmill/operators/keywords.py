@@ -171,13 +171,27 @@ def validate_keywords(cases: DataFrame, master: DataFrame) -> DataFrame:
         .when(c >= REVIEW_FROM, said(BORDERLINE)).otherwise(said(LOW)).alias("reason"))
 
 
-def verdict_summary(audit: DataFrame) -> DataFrame:
-    """Keyword decisions per verdict, and cases with and without a verified keyword."""
+def verdict_summary(audit: DataFrame, cases: DataFrame) -> DataFrame:
+    """Keyword decisions per verdict, and cases with and without a verified keyword.
+
+    ``cases`` is the whole case table; a case without keywords has no verified one.
+    """
     verdicts = audit.groupBy("verdict").agg(F.count(F.lit(1)).alias("cnt"))
-    kept = audit.groupBy("case_id").agg(F.bool_or(F.col("verdict") == "KEEP").alias("any"))
-    cases = kept.groupBy(F.when(F.col("any"), "cases with verified").otherwise("cases without verified").alias(
+    kept = audit.filter(F.col("verdict") == "KEEP").select("case_id", F.lit(True).alias("any")).distinct()
+    found = cases.select("case_id").distinct().join(kept, "case_id", "left")
+    totals = found.groupBy(F.when(F.col("any"), "cases with verified").otherwise("cases without verified").alias(
         "verdict")).agg(F.count(F.lit(1)).alias("cnt"))
-    return verdicts.unionByName(cases)
+    return verdicts.unionByName(totals)
+
+
+def keyword_outcomes(cases: DataFrame, audit: DataFrame) -> DataFrame:
+    """Per case its ``verified``, ``removed`` and ``review`` keywords, in order; empty lists for a case without any."""
+    def listed(verdict: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("verdict") == verdict, F.col("keyword"))))
+
+    lists = audit.groupBy("case_id").agg(listed("KEEP").alias("verified"), listed("REMOVE").alias("removed"), listed("REVIEW").alias("review"))
+    none = F.array().cast("array<string>")
+    return cases.join(lists, "case_id", "left").withColumns({c: F.coalesce(c, none) for c in ("verified", "removed", "review")})
 
 
 def validated_cases(cases: DataFrame, audit: DataFrame) -> DataFrame:

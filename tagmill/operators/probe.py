@@ -59,6 +59,8 @@ class NaiveBayesProbe:
     """
 
     def __init__(self, bags: DataFrame, vocab: list[str], folds: int = FOLDS):
+        if vocab is None:
+            raise ValueError("the vocabulary passed the bound of bounded_values; give the probe a list of tags")
         self.vocab, self.folds = vocab, folds
         known = F.filter(F.transform("tags", lambda t: F.array_position(string_array(vocab), t).cast("int")),
                          lambda i: i > 0)

@@ -100,3 +100,13 @@ def test_lexicon_tone(spark):
     assert got[1][1] == pytest.approx(4 / (16 + 15) ** 0.5)
     expected = spark.createDataFrame([("x", "positive")], "tag string, expected string")
     assert {r["case_id"] for r in K.sentiment_conflicts(cases, tone, expected).collect()} == {2, 3}
+
+
+def test_cases_without_keywords_are_counted(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
+    audit = spark.createDataFrame([(1, "b", "KEEP"), (1, "a", "KEEP"), (1, "c", "REVIEW"), (2, "d", "REMOVE")],
+                                  "case_id long, keyword string, verdict string")
+    counts = {r["verdict"]: r["cnt"] for r in K.verdict_summary(audit, cases).collect()}
+    assert counts["cases with verified"] == 1 and counts["cases without verified"] == 2
+    lists = {r["case_id"]: (r["verified"], r["removed"], r["review"]) for r in K.keyword_outcomes(cases, audit).collect()}
+    assert lists == {1: (["a", "b"], [], ["c"]), 2: ([], ["d"], []), 3: ([], [], [])}

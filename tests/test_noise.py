@@ -96,6 +96,19 @@ def test_calibration_is_monotone_and_close(spark):
         assert all(b[1] >= a[1] - 1e-9 for a, b in zip(one_fold, one_fold[1:]))
 
 
+def test_calibration_tells_close_probabilities_apart(spark):
+    rows = [(i, i % 5, "a", int(i >= 100), 0.001 + 0.0049 * i) for i in range(200)]
+    close = [(1000, 0, "a", 0, 0.40011), (1001, 0, "a", 0, 0.40022), (1002, 0, "a", 0, 0.4005)]
+    cells = spark.createDataFrame(rows + close, "case_id long, fold int, tag string, y int, p double")
+    out = {r["case_id"]: r["p"] for r in C.calibrate(cells, "sigmoid").collect()}
+    assert out[1000] < out[1001] < out[1002]
+
+
+def test_a_probe_without_a_vocabulary_is_an_error(docs):
+    with pytest.raises(ValueError):
+        P.NaiveBayesProbe(docs, None)
+
+
 @pytest.mark.parametrize("probe", ["LR", "MLP", "XGB"])
 def test_fitted_probes_score_out_of_fold(docs, probe):
     d = X.with_terms(P.with_fold(docs, 2), F.col("text"), bigrams=False)
