@@ -8,7 +8,8 @@ splitting the shards in halves down to the single shard, so any shard can be dra
 own and the totals still come out exactly. A source's slots are numbered through all
 shards; slot j takes block perm_e(j mod B) of the source's B blocks, where perm_e is the
 pseudorandom permutation of pass e = j div B. So every block is used once before any is
-used twice. Slots and the documents' pieces of blocks meet in a join by (source, block).
+used twice. The last slot of a source takes only the words still due. Slots and the
+documents' pieces of blocks meet in a join by (source, block).
 
 Everything random is a function of the seed, so reruns and lost tasks agree.
 """
@@ -71,13 +72,21 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
 
     Sources are ordered by code point with null last and weigh ``weights``, repeating.
     Together they take ``share`` of all words; none takes over ``most`` times its own.
-    Blocks make a source's words differ from its target by at most a block or two. A null,
+    A source's words are its target rounded to a word, at any size of source. A null,
     empty or blank text has size 0 and takes 0. Rows that share a doc_id are one document:
     their texts count as repeats of it, each a row with its own size. A row without doc_id
     mixes like any other but has no pieces to join back to. An empty table gives empty tables.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       word_count(F.col("text").cast("string")).alias("size"))
+    plan, pieces = _mix(docs, F.monotonically_increasing_id(), weights, share, most, block, shard, seed)
+    return plan, pieces.select("doc_id", "shard", "slot", "source", "block", "use", "start", "stop")
+
+
+def _mix(docs: DataFrame, key: Column, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
+         block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """``mix_sources`` with a key of each row, which the pieces carry as ``key``."""
+    rows = docs.select(key.cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
+                       F.xxhash64(F.col("text").cast("string")).alias("mark"))
     sized = stage(rows, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
@@ -86,7 +95,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     names, words = [r["source"] for r in sources], [int(r["words"]) for r in sources]
     aims = targets(words, [weights[i % len(weights)] for i in range(len(names))], share * sum(words), most)
     blocks = [-(-w // block) for w in words]
-    slots = [min(round(aim * b / w), int(most * b)) if w else 0 for aim, b, w in zip(aims, blocks, words)]
+    dealt = [_dealt(w, min(round(aim), int(most * w)), block, seed, s) for s, (aim, w) in enumerate(zip(aims, words))]
+    slots, cuts = [n for n, _ in dealt], [cut for _, cut in dealt]
     spark = docs.sparkSession
     table = spark.createDataFrame(
         pa.table({"name": pa.array(names, pa.string()), "s": pa.array(range(len(names)), pa.int32()),
@@ -94,46 +104,59 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
         "name string, s int, source_size long, target double")
     known = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = stage(_placed(known), "placed")
-    pieces = _used(placed.where("size > 0"), blocks, slots, block, shard, seed)
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    plan = placed.join(taken, "row", "left").select(
+    pieces = _used(placed.where("size > 0"), blocks, slots, cuts, block, shard, seed)
+    taken = pieces.groupBy("key").agg(F.sum("words").alias("taken"))
+    plan = placed.join(taken, "key", "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return plan, pieces.select("doc_id", "shard", "slot", "source", "block", "use", "start", "stop")
+    return plan, pieces
+
+
+def _dealt(words: int, due: int, block: int, seed: int, s: int) -> tuple[int, int]:
+    """(slots, words of the last slot) with which source ``s`` of ``words`` words gives ``due``."""
+    if not words:
+        return 0, block
+    blocks, (full, rest) = -(-words // block), divmod(due, words)
+    if not rest:
+        return full * blocks, block
+    slots, lack = -(-rest // block), blocks * block - words
+    # Where this pass has the block that is shorter than the others.
+    at = place(blocks - 1, blocks, _pass_key(seed, s, full)) if lack and blocks > 1 else 0
+    if lack and at < slots and slots * block - lack < rest:
+        slots += 1
+    return full * blocks + slots, rest - (slots - 1) * block + (lack if at < slots - 1 else 0)
 
 
 def _placed(known: DataFrame) -> DataFrame:
-    """Each row's first word in its source's stream (``first``), and a number of its own (``row``).
+    """Each row's first word in its source's stream (``first``).
 
     A source's documents are ordered by a hash of their ids, which cuts any source, hot or
     not, into even slices; sizes are summed inside a slice and shifted by the slices before.
     """
     slices = 4096
     cut = known.withColumn("h", F.xxhash64("doc_id", "size")).withColumn("slice", F.shiftright("h", 52) + slices // 2)
-    sums = cut.groupBy("s", "slice").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    sums = cut.groupBy("s", "slice").agg(F.sum("size").alias("words"))
     before = W.partitionBy("s").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sums.select("s", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("shift"),
-                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("count"))
-    inside = W.partitionBy("s", "slice").orderBy("h", "doc_id", "size")
-    run = inside.rowsBetween(W.unboundedPreceding, 0)
-    return (cut.withColumn("in", F.sum("size").over(run) - F.col("size")).withColumn("at", F.row_number().over(inside))
+    shifts = sums.select("s", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("shift"))
+    # The key decides between rows of one doc_id with equal texts only, so any partitioning of the input will do.
+    run = W.partitionBy("s", "slice").orderBy("h", "doc_id", "size", "mark", "key").rowsBetween(W.unboundedPreceding, 0)
+    return (cut.withColumn("in", F.sum("size").over(run) - F.col("size"))
             .join(shifts, ["s", "slice"])
-            .select("doc_id", "source", "s", "size", "source_size", "target", (F.col("in") + F.col("shift")).alias("first"),
-                    F.struct("s", (F.col("at") + F.col("count")).alias("i")).alias("row")))
+            .select("key", "doc_id", "source", "s", "size", "source_size", "target", (F.col("in") + F.col("shift")).alias("first")))
 
 
-def _used(placed: DataFrame, blocks: list[int], slots: list[int], block: int, shard: int, seed: int) -> DataFrame:
+def _used(placed: DataFrame, blocks: list[int], slots: list[int], cuts: list[int], block: int, shard: int, seed: int) -> DataFrame:
     """The pieces of blocks that the mix takes, a row per use."""
     spark = placed.sparkSession
     shards = -(-sum(slots) // shard)
     drawn = spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4, 10_000))).mapInArrow(
-        _drawer(blocks, slots, shard, shards, seed), "s int, block long, shard long, slot long, use int")
+        _drawer(blocks, slots, cuts, block, shard, shards, seed), "s int, block long, shard long, slot long, use int, length long")
     last = F.floor((F.col("first") + F.col("size") - 1) / block)
-    spans = placed.select("doc_id", "row", "source", "s", "first", "size", F.explode(
+    spans = placed.select("doc_id", "key", "source", "s", "first", "size", F.explode(
         F.sequence(F.floor(F.col("first") / block), last)).alias("block"))
     start = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
-    stop = F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))
-    return (spans.withColumn("start", start).withColumn("stop", stop).join(drawn.hint("merge"), ["s", "block"])  # no size is known before the draw
-            .withColumn("words", F.col("stop") - F.col("start")))
+    stop = F.least(F.col("block") * block + F.col("length") - F.col("first"), F.col("size"))
+    return (spans.withColumn("start", start).join(drawn.hint("merge"), ["s", "block"])  # no size is known before the draw
+            .withColumn("stop", stop).where("stop > start").withColumn("words", F.col("stop") - F.col("start")))
 
 
 def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
@@ -180,14 +203,35 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     while len(todo):
         left, right = value[todo] >> np.uint64(half), value[todo] & mask
         for turn in range(4):
-            salt = np.uint64((key * 8 + turn) % (1 << 64))
-            left, right = right, left ^ (mix(mix(right + salt) + salt) & mask)
+            left, right = right, left ^ _turned(right, key, turn, mask)
         value[todo] = left << np.uint64(half) | right
         todo = todo[value[todo] >= size]
     return value.astype(np.int64)
 
 
-def _drawer(blocks: list[int], slots: list[int], shard: int, shards: int, seed: int):
+def _turned(half: np.ndarray, key: int, turn: int, mask: np.uint64) -> np.ndarray:
+    salt = np.uint64((key * 8 + turn) % (1 << 64))
+    return mix(mix(half + salt) + salt) & mask
+
+
+def place(value: int, size: int, key: int) -> int:
+    """The index at which ``permuted`` has a value."""
+    half = max(1, (int(size - 1).bit_length() + 1) // 2)
+    mask, at = np.uint64((1 << half) - 1), np.array([value], np.uint64)
+    while True:
+        left, right = at >> np.uint64(half), at & mask
+        for turn in reversed(range(4)):
+            left, right = right ^ _turned(left, key, turn, mask), left
+        at = left << np.uint64(half) | right
+        if at[0] < size:
+            return int(at[0])
+
+
+def _pass_key(seed: int, s: int, use: int) -> int:
+    return int.from_bytes(blake2b(f"{seed}:{s}:{use}".encode(), digest_size=7).digest(), "big")
+
+
+def _drawer(blocks: list[int], slots: list[int], cuts: list[int], length: int, shard: int, shards: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column(0).to_pylist():
@@ -201,13 +245,13 @@ def _drawer(blocks: list[int], slots: list[int], shard: int, shards: int, seed:
                     use, index = np.divmod(j, blocks[s])
                     block = np.empty_like(index)
                     for e in np.unique(use).tolist():
-                        key = int.from_bytes(blake2b(f"{seed}:{s}:{e}".encode(), digest_size=7).digest(), "big")
-                        block[use == e] = permuted(index[use == e], blocks[s], key)
+                        block[use == e] = permuted(index[use == e], blocks[s], _pass_key(seed, s, e))
                     n = len(j)
                     yield pa.RecordBatch.from_pydict({
                         "s": pa.array(np.full(n, s, np.int32)), "block": pa.array(block),
                         "shard": pa.array(np.full(n, number, np.int64)), "slot": pa.array(order[at:at + n]),
-                        "use": pa.array(use.astype(np.int32))})
+                        "use": pa.array(use.astype(np.int32)),
+                        "length": pa.array(np.where(j == slots[s] - 1, cuts[s], length))})
                     at += n
     return run
 

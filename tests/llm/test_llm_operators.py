@@ -169,6 +169,24 @@ def test_mixing(spark):
         assert sorted(mixing.permuted(np.arange(size), size, 9).tolist()) == list(range(size))
 
 
+def test_mixing_meets_targets_of_any_size(spark):
+    sizes = [1, 2, 5, 40, 100, 127, 128, 129, 130, 200, 257, 1000]
+    rows = [(100 * s + i, " ".join(f"s{s}w{j}" for j in range(i, n, 3)), None, f"{s:02d}", 0) for s, n in enumerate(sizes) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for weights, share in ((mixing.WEIGHTS, 1.5), ((1.0,), .4), ((1.0, 50.0), .7), ((3.0, 1.0), 2.0)):
+        plan, pieces = mixing.mix_sources(docs, weights=weights, share=share)
+        by = defaultdict(list)
+        for r in plan.collect():
+            by[r["source"]].append(r)
+            assert r["taken"] <= 2 * r["size"]
+        assert len(by) == len(sizes)
+        for name, of in by.items():
+            assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= .5, (name, weights)
+        assert pieces.where("stop <= start").count() == 0
+    for size in (1, 2, 9, 1000):
+        assert [mixing.place(v, size, 5) for v in mixing.permuted(np.arange(size), size, 5).tolist()] == list(range(size))
+
+
 def test_language(spark):
     en, de = "the cat and the dog are in the house with that thing ", "der hund und die katze sind nicht mit dem haus "
     docs = table(spark, [(i, en * (i % 3 + 1)) for i in range(0, 20, 2)]).withColumn("lang", F.lit("en")).union(
