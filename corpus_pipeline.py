@@ -14,9 +14,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def in_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: no text, or not one letter in it.
 
-    The others keep their columns; ``lang`` becomes the predicted one.
+    The others keep their columns; ``lang`` becomes the predicted one, and stays as it was
+    where the table has nothing to learn languages from.
     """
     profiles = language.learn(docs.where(f"{TRAINED} != 0"))
+    if not profiles:
+        return language.lettered(docs.select(*COLUMNS))
     judged = language.identify(docs.select(*COLUMNS), profiles).where(F.col("lang_pred") != language.UNKNOWN)
     return judged.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

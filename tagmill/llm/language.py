@@ -88,6 +88,15 @@ def learn(docs: DataFrame, top: int = TOP, max_docs: int = MAX_DOCS) -> dict[str
     return {lang: [gram for _, gram in sorted(places)] for lang, places in sorted(profiles.items())}
 
 
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to every row of ``docs``, replacing columns of those names.
 

@@ -237,6 +237,15 @@ def test_search_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_DOCS", 4)
     rng = random.Random(7)
     texts = [(i, " ".join(rng.choice(["the", "of"] + [f"r{rng.randrange(60)}"]) for _ in range(rng.randrange(40)))) for i in range(120)] + [(200, None)]
+def test_pipeline_keeps_unlabelled_documents(spark, folder):
+    import corpus_pipeline as P
+    texts = [(0, "the cat"), (1, "das Haus"), (2, None), (3, ""), (4, "12 !?"), (5, "漢字"), (None, "no id"), (5, "漢字")]
+    for docs in (table(spark, texts).withColumn("lang", F.lit(None).cast("string")), table(spark, texts).where(f"not {queries.TRAINED} != 0")):
+        got = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in P.in_language(spark, docs, folder).collect())
+        assert got == sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+        assert P.in_language(spark, docs, folder).columns == list(P.COLUMNS)
+
+
     got = defaultdict(list)
     for r in search.search(table(spark, [*texts, (None, "the")]), F.col("doc_id") % 20 == 0, 5).orderBy("place").collect():
         got[r["query_id"]].append((r["doc_id"], r["score"]))
