@@ -100,9 +100,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose document is the kept one of its component, all columns."""
+    """The rows of ``docs`` whose document is the kept one of its component, all columns.
+
+    Of equal rows of one doc_id one stays; rows that share a doc_id but differ all stay, as
+    do rows without doc_id.
+    """
     gone = near_duplicates(docs, words, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    shared = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(stage(gone, "gone"), "doc_id", "left_anti")
+    return kept.join(shared, "doc_id", "left_anti").union(kept.join(shared, "doc_id", "left_semi").dropDuplicates())
 
 
 def _signer(words: int):

@@ -261,12 +261,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document's pieces follow one another in document order, those of a second use after
     those of the first, each piece as it is written in the text; pieces that do not touch
-    are set apart by a line break. Documents of which nothing is taken are left out. Rows
-    need a doc_id of their own; ``n_chars``, where there is such a column, is counted anew.
+    are set apart by a line break. Documents of which nothing is taken are left out. Each
+    row is a document of its own, with or without a doc_id and also where others have the
+    same one: rows get a key, written with them, by which their pieces come back to them.
+    ``n_chars``, where there is such a column, is counted anew.
     """
-    _, pieces = mix_sources(docs, **options)
-    spans = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("use", "start", "stop"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id")
+    keyed = stage(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    _, pieces = _mix(keyed, F.col("_key"), **options)
+    spans = pieces.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("use", "start", "stop"))).alias("_spans"))
+    joined = keyed.join(spans, "_key")
     kept = [f for f in docs.schema.fields]
 
     def cut(text: str, spans: list[dict]) -> str:

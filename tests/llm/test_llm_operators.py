@@ -207,6 +207,23 @@ def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
                                    ("org", "/fr/", "allow"), ("org", "/fr", "block"), (None, "/", "block")], "host string, path string, verdict string")
     got = [tuple(r) for r in urls.judge_urls(pages, rules).collect()]
+def test_rows_without_and_with_shared_ids_are_mixed_as_documents_of_their_own(spark):
+    text = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(None, text("a", 300)), (None, text("b", 200)), (7, text("c", 250)), (7, text("c", 250)), (8, text("d", 150)), (8, text("e", 400))]
+    docs = table(spark, rows).withColumn("source", F.lit("a"))
+    got = [r["text"].split() for r in mixing.mixed_documents(docs, share=2.0).collect()]
+    assert sorted(sorted(w) for w in got) == sorted(sorted(2 * t.split()) for _, t in rows)
+    part = mixing.mixed_documents(docs, share=.5, block=16).collect()
+    assert sum(len(r["text"].split()) for r in part) == 775
+    assert all(len({w[0] for w in r["text"].split()}) == 1 for r in part)
+
+
+def test_one_of_equal_rows_is_kept(spark):
+    rows = [(3, "one two"), (3, "one two"), (4, "three"), (4, "four"), (5, "one two"), (6, None), (6, None), (None, "one two"), (None, "one two")]
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.keep_one(table(spark, rows).withColumn("lang", F.lit("en"))).collect())
+    assert got == [("3", "one two"), ("4", "four"), ("4", "three"), ("6", "None"), ("None", "one two"), ("None", "one two")]
+
+
     assert sorted(got, key=str) == sorted([
         (0, "a.example.net", "/en/x", "example.net/en/", "allow"), (1, "net", "", None, "allow"), (2, "xnet", "/", None, "allow"),
         (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "a.org", "/fr/", "org/fr/", "allow"), (5, "a.org", "/fr/", "org/fr/", "allow"),
