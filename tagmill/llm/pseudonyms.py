@@ -6,10 +6,13 @@ Feistel network over two halves, walked on until it lands inside the domain and
 value again. The permutation depends on the key and the kind of value only, so equal
 values get equal pseudonyms in every document, unlike values unlike ones, and whoever
 holds the key can reverse it. Separators, lengths of the written parts and check digits'
-validity stay as they were. What fails validation is left alone.
+validity stay as they were. What fails validation is left alone, but shorter values at its
+start and values that begin inside it are looked for, as other digits or capitals may
+stand right beside a value.
 
 Kinds: payment card numbers of 13 to 19 digits (Luhn), IBANs (mod 97), US social security
-numbers (issuable ranges), phone numbers written with + and a country code, IPv4
+numbers (issuable ranges), phone numbers written with + and a country code, North American
+ones (area and exchange from 200) and those of 10 to 12 digits with a leading 0, IPv4
 addresses (four octets), dates of 1900 to 2099 (calendar), mail addresses (letters and
 digits of the part before the @). A pseudonym can be the value itself, as in any
 permutation, with a probability of one in the size of the domain.
@@ -29,7 +32,6 @@ from pyspark.sql import DataFrame
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-KINDS = ("email", "iban", "date", "ip", "ssn", "phone", "card")
 _PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
@@ -37,9 +39,29 @@ _PATTERNS = {
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}",
+    "american": r"(?:\([2-9][0-9]{2}\) ?[2-9][0-9]{2}[ .-]|[2-9][0-9]{2}([ .-])[2-9][0-9]{2}\1)[0-9]{4}",
+    "trunk": r"\(0[1-9][0-9]{0,4}\) ?[0-9]{2,8}(?:[ -][0-9]{2,4}){0,3}|0[1-9][0-9]{0,4}([ ./-])[0-9]{2,8}(?:\1[0-9]{2,4}){0,3}",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}",
 }
-_VALUE = re.compile(r"(?<![0-9A-Za-z+@])(?<![0-9]\.)(?:" + "|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in KINDS) + r")(?![0-9A-Za-z@]|\.[0-9])")
+KINDS = tuple(_PATTERNS)
+_LABELS = {"american": "phone", "trunk": "phone"}
+_OPEN, _CLOSE = r"(?<![0-9A-Za-z+@])(?<![0-9]\.)", r"(?![0-9A-Za-z@]|\.[0-9])"
+_CLOSES = {"date": r"(?![0-9A-SU-Za-z@]|T(?![0-9])|\.[0-9])"}  # a time may follow
+_BEGIN = re.compile(_OPEN + "(?:" + "|".join(p.replace(r"([ .-])", "[ .-]").replace(r"([ ./-])", "[ ./-]").replace(r"\1", "[ ./-]")
+                                             for p in _PATTERNS.values()) + ")")
+_VALUES = {k: re.compile(f"(?:{p}){_CLOSES.get(k, _CLOSE)}") for k, p in _PATTERNS.items()}
+_ENDS = re.compile(_CLOSE)
+_SHORT_PHONE = re.compile(_PATTERNS["phone"].replace("{2,3}", "{2}") + _CLOSE)
+_SHORT_TRUNK = [re.compile(f"(?:{_PATTERNS['trunk'].replace('{0,3}', f'{{{n}}}')}){_CLOSE}") for n in (2, 1, 0)]
+#: Lengths of IBANs by country.
+_IBAN_LENGTHS = {c: int(n) for n, *codes in map(str.split, (
+    "15 NO", "16 BE", "18 DK FI FO GL NL SD", "19 MK SI", "20 AT BA EE KZ LT LU MN XK", "21 CH HR LI LV",
+    "22 BG BH CR DE GB GE IE ME RS VA", "23 AE GI IL IQ OM SO TL", "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST",
+    "26 IS TR", "27 BI DJ FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HU LB NI PL SV", "29 BR EG PS QA UA", "30 JO KW MU YE",
+    "31 MT SC", "32 LC", "33 RU")) for c in codes}
+#: First digits of card issuers, and how cards are written; what looks so goes before what does not.
+_ISSUER = re.compile(r"3[0-9]|4|5[0-9]|6|2(?:2[2-9]|[3-6]|7[01]|720)")
+_SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
 _SIGN = re.compile(r"[0-9]")
 
 
@@ -134,6 +156,20 @@ def _phone(text: str, key: bytes) -> str | None:
     return country + _refill(text[len(country):], f"{new:0{len(digits)}d}")
 
 
+def _american(text: str, key: bytes) -> str | None:
+    valid = lambda n: n // 10**9 > 1 and n // 10**6 % 10 > 1
+    return _refill(text, str(_walk(int(_digits(text)), 10**10, key, "american", valid)))
+
+
+def _trunk(text: str, key: bytes) -> str | None:
+    digits = _digits(text)
+    if not 10 <= len(digits) <= 12:
+        return None
+    size = 10 ** (len(digits) - 1)
+    new = _walk(int(digits), size, key, f"trunk{len(digits)}", lambda n: n >= size // 10)
+    return _refill(text, f"0{new}")
+
+
 def _ip(text: str, key: bytes) -> str | None:
     octets = [int(p) for p in text.split(".")]
     if max(octets) > 255 or any(len(p) > 1 and p[0] == "0" for p in text.split(".")):
@@ -174,7 +210,8 @@ def _email(text: str, key: bytes) -> str | None:
 
 
 _MAKE: dict[str, Callable[[str, bytes], str | None]] = {
-    "email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+    "email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "american": _american, "trunk": _trunk,
+    "card": _card}
 
 
 @lru_cache(maxsize=100_000)
@@ -182,20 +219,80 @@ def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _MAKE[kind](value, key)
 
 
+@lru_cache(maxsize=64)
+def _iban_of(size: int) -> re.Pattern:
+    full, rest = divmod(size - 4, 4)
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{full}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") + _CLOSE)
+
+
+def _card_ends(text: str, start: int) -> list[tuple[bool, int]]:
+    """(looks like a card, end) of the values of 13 to 19 digits at a start that pass, such looks first."""
+    found, group, groups, digits, at = [], 0, [], "", start
+    while len(digits) < 19 and at < len(text) and text[at] in "0123456789":
+        digits, group, at = digits + text[at], group + 1, at + 1
+        whole = at == len(text) or text[at] not in "0123456789"
+        if whole and len(digits) >= 13 and _ENDS.match(text, at) and int(digits) and not luhn(digits) % 10:
+            found.append((bool(_ISSUER.match(digits)) and (*groups, group) in _SHAPES, at))
+        if whole:
+            groups, group = [*groups, group], 0
+            if at < len(text) and text[at] in " -":
+                at += 1
+    return sorted(found, key=lambda f: (not f[0], -f[1]))
+
+
+def _card_end(text: str, start: int) -> int | None:
+    ends = _card_ends(text, start)
+    if not ends:
+        return None
+    likely, end = ends[0]
+    if not likely and any(text[at - 1] in " -" and any(good for good, _ in _card_ends(text, at)) for at in range(start + 1, end)):
+        return None  # its digits pass by chance: a likelier card begins inside
+    return end
+
+
+def _ends(kind: str, text: str, start: int) -> Iterator[int]:
+    """Where a value of the kind may end, in the order in which they are tried."""
+    if kind == "card":
+        if (end := _card_end(text, start)) is not None:
+            yield end
+        return
+    own = _IBAN_LENGTHS.get(text[start:start + 2]) if kind == "iban" else None
+    shorter: list[re.Pattern] = {"phone": [_SHORT_PHONE], "trunk": _SHORT_TRUNK}.get(kind, [])
+    if own:
+        if match := _iban_of(own).match(text, start):
+            yield match.end()
+    elif kind == "iban":
+        shorter = [_iban_of(size) for size in range(34, 14, -1)]
+    for pattern in (_VALUES[kind], *shorter):
+        if match := pattern.match(text, start):
+            yield match.end()
+
+
+def _value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
+    """(kind, end, pseudonym) of the value that begins at a place."""
+    for kind in KINDS:
+        for end in _ends(kind, text, start):
+            if (new := _pseudonym(kind, text[start:end], key)) is not None:
+                return kind, end, new
+    return None
+
+
 def rewrite(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and (start, length, kind) of each value in the given text."""
     if not text or not (_SIGN.search(text) or "@" in text):
         return text, []
     spans: list[tuple[int, int, str]] = []
-
-    def put(match: re.Match) -> str:
-        new = _pseudonym(match.lastgroup, match.group(), key)
-        if new is None:
-            return match.group()
-        spans.append((match.start(), len(match.group()), match.lastgroup))
-        return new
-
-    return _VALUE.sub(put, text), spans
+    parts, done, at = [], 0, 0
+    while match := _BEGIN.search(text, at):
+        start = match.start()
+        if (value := _value_at(text, start, key)) is None:
+            at = start + 1
+            continue
+        kind, end, new = value
+        spans.append((start, end - start, _LABELS.get(kind, kind)))
+        parts += [text[done:start], new]
+        done = at = end
+    return "".join([*parts, text[done:]]), spans
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:

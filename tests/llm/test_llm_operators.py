@@ -144,6 +144,26 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymize(table(spark, []), KEY).count() == 0
 
 
+def test_values_beside_other_digits_and_capitals_get_pseudonyms():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    for text, value, kind in [
+            (f"{card} 12/26", card, "card"), (f"{card} 123", card, "card"), (f"{card} 12", card, "card"), (f"7 {card}", card, "card"),
+            (f"paid 2024 {card}", card, "card"), (f"paid 2024 {card} 2025 17", card, "card"), ("2024-99-99 4111-1111-1111-1111", "4111-1111-1111-1111", "card"),
+            (f"{iban} BIC", iban, "iban"), (f"{iban} KREDBEBB", iban, "iban"), (f"ABCD12 {iban} 2024", iban, "iban"), ("XX99 BE68 5390 0754 7034", iban, "iban"),
+            ("at 2024-01-15T10:00:00Z", "2024-01-15", "date"), ("call (415) 555-2671 now", "(415) 555-2671", "phone"),
+            ("415-555-2671", "415-555-2671", "phone"), ("1-415.555.2671 or 415.555.2671", "415.555.2671", "phone"),
+            ("06 12 34 56 78", "06 12 34 56 78", "phone"), ("(030) 1234 5678", "(030) 1234 5678", "phone"), ("020 7946 0958 2024", "020 7946 0958", "phone")]:
+        new, spans = pseudonyms.rewrite(text, KEY)
+        at = text.rindex(value)
+        assert (at, len(value), kind) in spans and value not in new, text
+        if len(spans) == 1:  # what stands beside the value stays
+            assert new[:at] == text[:at] and new[at + len(value):] == text[at + len(value):], text
+    two, spans = pseudonyms.rewrite(f"{card} 5500 0000 0000 0004", KEY)
+    assert [s[:2] for s in spans] == [(0, 19), (20, 19)]
+    for text in ("4111 1111 1111 1112 12/26", "BE68 5390 0754 7035 BIC", "2024-13-15T10:00", "115-055-2671", "1 2 3 4 5 6", "page 12 of 2024", "2024-01-15Tx"):
+        assert pseudonyms.rewrite(text, KEY) == (text, [])
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     texts = [(i, " ".join(str(rng.random()) for _ in range(rng.randrange(400)))) for i in range(300)] + [(400, None), (401, " ")]
@@ -187,6 +207,23 @@ def test_mixing_meets_targets_of_any_size(spark):
         assert [mixing.place(v, size, 5) for v in mixing.permuted(np.arange(size), size, 5).tolist()] == list(range(size))
 
 
+def test_rows_without_and_with_shared_ids_are_mixed_as_documents_of_their_own(spark):
+    text = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(None, text("a", 300)), (None, text("b", 200)), (7, text("c", 250)), (7, text("c", 250)), (8, text("d", 150)), (8, text("e", 400))]
+    docs = table(spark, rows).withColumn("source", F.lit("a"))
+    got = [r["text"].split() for r in mixing.mixed_documents(docs, share=2.0).collect()]
+    assert sorted(sorted(w) for w in got) == sorted(sorted(2 * t.split()) for _, t in rows)
+    part = mixing.mixed_documents(docs, share=.5, block=16).collect()
+    assert sum(len(r["text"].split()) for r in part) == 775
+    assert all(len({w[0] for w in r["text"].split()}) == 1 for r in part)
+
+
+def test_one_of_equal_rows_is_kept(spark):
+    rows = [(3, "one two"), (3, "one two"), (4, "three"), (4, "four"), (5, "one two"), (6, None), (6, None), (None, "one two"), (None, "one two")]
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.keep_one(table(spark, rows).withColumn("lang", F.lit("en"))).collect())
+    assert got == [("3", "one two"), ("4", "four"), ("4", "three"), ("6", "None"), ("None", "one two"), ("None", "one two")]
+
+
 def test_language(spark):
     en, de = "the cat and the dog are in the house with that thing ", "der hund und die katze sind nicht mit dem haus "
     docs = table(spark, [(i, en * (i % 3 + 1)) for i in range(0, 20, 2)]).withColumn("lang", F.lit("en")).union(
@@ -200,6 +237,15 @@ def test_language(spark):
     assert language.learn(table(spark, [])) == {} and language.identify(asked, {}).where("lang_pred != 'und'").count() == 0
 
 
+def test_pipeline_keeps_unlabelled_documents(spark, folder):
+    import corpus_pipeline as P
+    texts = [(0, "the cat"), (1, "das Haus"), (2, None), (3, ""), (4, "12 !?"), (5, "漢字"), (None, "no id"), (5, "漢字")]
+    for docs in (table(spark, texts).withColumn("lang", F.lit(None).cast("string")), table(spark, texts).where(f"not {queries.TRAINED} != 0")):
+        got = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in P.in_language(spark, docs, folder).collect())
+        assert got == sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+        assert P.in_language(spark, docs, folder).columns == list(P.COLUMNS)
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(0, "http://A.Example.NET/en/x?q#f"), (1, "https://net"), (2, "https://xnet/"), (3, None), (4, "nothing"),
                                    (5, "http://a.org/fr/"), (5, "http://a.org/fr/"), (None, "http://b.net/#a://c"), (6, "http://example.com/de/a")],
@@ -207,23 +253,6 @@ def test_urls(spark):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
                                    ("org", "/fr/", "allow"), ("org", "/fr", "block"), (None, "/", "block")], "host string, path string, verdict string")
     got = [tuple(r) for r in urls.judge_urls(pages, rules).collect()]
-def test_rows_without_and_with_shared_ids_are_mixed_as_documents_of_their_own(spark):
-    text = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
-    rows = [(None, text("a", 300)), (None, text("b", 200)), (7, text("c", 250)), (7, text("c", 250)), (8, text("d", 150)), (8, text("e", 400))]
-    docs = table(spark, rows).withColumn("source", F.lit("a"))
-    got = [r["text"].split() for r in mixing.mixed_documents(docs, share=2.0).collect()]
-    assert sorted(sorted(w) for w in got) == sorted(sorted(2 * t.split()) for _, t in rows)
-    part = mixing.mixed_documents(docs, share=.5, block=16).collect()
-    assert sum(len(r["text"].split()) for r in part) == 775
-    assert all(len({w[0] for w in r["text"].split()}) == 1 for r in part)
-
-
-def test_one_of_equal_rows_is_kept(spark):
-    rows = [(3, "one two"), (3, "one two"), (4, "three"), (4, "four"), (5, "one two"), (6, None), (6, None), (None, "one two"), (None, "one two")]
-    got = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.keep_one(table(spark, rows).withColumn("lang", F.lit("en"))).collect())
-    assert got == [("3", "one two"), ("4", "four"), ("4", "three"), ("6", "None"), ("None", "one two"), ("None", "one two")]
-
-
     assert sorted(got, key=str) == sorted([
         (0, "a.example.net", "/en/x", "example.net/en/", "allow"), (1, "net", "", None, "allow"), (2, "xnet", "/", None, "allow"),
         (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "a.org", "/fr/", "org/fr/", "allow"), (5, "a.org", "/fr/", "org/fr/", "allow"),
@@ -254,15 +283,6 @@ def test_search_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_DOCS", 4)
     rng = random.Random(7)
     texts = [(i, " ".join(rng.choice(["the", "of"] + [f"r{rng.randrange(60)}"]) for _ in range(rng.randrange(40)))) for i in range(120)] + [(200, None)]
-def test_pipeline_keeps_unlabelled_documents(spark, folder):
-    import corpus_pipeline as P
-    texts = [(0, "the cat"), (1, "das Haus"), (2, None), (3, ""), (4, "12 !?"), (5, "漢字"), (None, "no id"), (5, "漢字")]
-    for docs in (table(spark, texts).withColumn("lang", F.lit(None).cast("string")), table(spark, texts).where(f"not {queries.TRAINED} != 0")):
-        got = sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in P.in_language(spark, docs, folder).collect())
-        assert got == sorted((str(r["doc_id"]), r["text"], r["lang"]) for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
-        assert P.in_language(spark, docs, folder).columns == list(P.COLUMNS)
-
-
     got = defaultdict(list)
     for r in search.search(table(spark, [*texts, (None, "the")]), F.col("doc_id") % 20 == 0, 5).orderBy("place").collect():
         got[r["query_id"]].append((r["doc_id"], r["score"]))
