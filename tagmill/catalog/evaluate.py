@@ -203,3 +203,15 @@ _WIDE = ["flag:A", "flag:N", "flag:R", "type:PROMO", "bulk:PROMO"]
 def wide_query(spark, folder):
     s = I.scored(spark, folder)
     return E.predictions_wide(s.judged(), s.vocab, _WIDE)
+
+
+@query("predictions_wide_all", sql("""
+SELECT case_id, string_agg(pred::VARCHAR || ':' || round(round(p, 3) * 1000)::BIGINT, '|' ORDER BY tag) AS cells
+FROM judged GROUP BY case_id"""))
+def wide_all_query(spark, folder):
+    """The columns of all tags, as one text per case."""
+    s = I.scored(spark, folder)
+    wide = E.predictions_wide(s.judged(), s.vocab)
+    pairs = [F.concat(F.col(f"`pred_{t}`").cast("string"), F.lit(":"), F.round(F.col(f"`prob_{t}`") * 1000).cast("bigint").cast("string"))
+             for t in sorted(s.vocab)]
+    return wide.select("case_id", F.concat_ws("|", F.array(*pairs)).alias("cells"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import parse_flag, parse_list_str, parse_tags
 from ..operators import labels as L
+from ..plans.storage import stage
 from . import inputs as I
 from .registry import query
 from .sql import sql
@@ -59,6 +60,16 @@ def label_matrix_query(spark, folder):
     return wide.toDF("case_id", "flag_A", "flag_N", "flag_R")
 
 
+@query("label_matrix_all", sql("""
+SELECT case_id, string_agg(list_contains(tags, tag)::BIGINT::VARCHAR, '' ORDER BY tag) AS cells
+FROM cases CROSS JOIN cnt_all GROUP BY case_id"""))
+def label_matrix_all_query(spark, folder):
+    """The columns of all tags, as one text per case."""
+    cases = stage(I.cases(spark, folder).select("case_id", "tags"), "cases")
+    vocab = sorted(I.kept_vocab(L.tag_counts(L.binarize_labels(cases)), 1))
+    return L.label_matrix(cases, vocab).select("case_id", F.concat(*[F.col(f"`{t}`").cast("string") for t in vocab]).alias("cells"))
+
+
 @query("drop_rare_tags", sql("SELECT case_id, array_to_string(tags, '|') AS tags FROM cases_kept"))
 def drop_rare_query(spark, folder):
     cases = I.cases(spark, folder)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import build_input_text, build_probe_text, tokens
 from ..operators import evaluate as E, features as X, labels as L, noise as N, probe as P
-from ..plans.bounded import bounded_values
+from ..plans.bounded import bounded_values, string_array
 from ..plans.storage import stage
 from ..sources import views
 from . import inputs as I
@@ -293,6 +293,20 @@ def smooth_query(spark, folder):
     return _round(N.smooth_labels(positives, base).select("case_id", "tag", "target"), "target")
 
 
+@query("smooth_labels_all", sql("""
+SELECT case_id, tag, y, round(y * (1 - s) + 0.5 * s, 6) AS target FROM (
+  SELECT case_id, tag, list_contains(tags, tag)::BIGINT AS y,
+    least(greatest((SELECT base_smooth FROM settings) + noise * 0.1::DOUBLE, 0.01::DOUBLE), 0.2::DOUBLE) AS s
+  FROM case_noise CROSS JOIN cnt_all)"""))
+def smooth_all_query(spark, folder):
+    """All cells, those of tags that a case does not have as well."""
+    cases = stage(I.cases(spark, folder), "cases")
+    vocab = I.kept_vocab(L.tag_counts(L.binarize_labels(cases)), 1)
+    cells = N.noise_from_quality(cases).select("case_id", "noise", "tags", F.explode(string_array(vocab)).alias("tag"))
+    cells = cells.withColumn("y", F.array_contains("tags", F.col("tag")).cast("bigint"))
+    return _round(N.smooth_labels(cells, I.settings(cases)["base_smooth"]).select("case_id", "tag", "y", "target"), "target")
+
+
 # ---- rare-tag fallback and mismatches --------------------------------------------------------
 cte("ct_tf", """
 SELECT case_id, term, count(*) AS tf FROM (SELECT case_id, unnest(regexp_extract_all(

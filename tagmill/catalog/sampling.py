@@ -86,6 +86,21 @@ def cap_query(spark, folder):
     return S.shortlist_cap(chosen, 500)
 
 
+@query("shortlist_cap_drops", sql("SELECT true AS dropped, 0::BIGINT AS tags_under, 0::BIGINT AS cases_left"))
+def cap_drops_query(spark, folder):
+    """What the cap promises where cases must go: a maximum of two thirds of the least common tag."""
+    labels = stage(L.binarize_labels(I.cases(spark, folder)), "labels")
+    given = stage(L.tag_counts(labels), "counts")
+    most = given.agg(F.min("cnt")).first()[0] * 2 // 3
+    chosen = stage(S.shortlist_cap(labels, most), "capped")
+    left = stage(L.tag_counts(chosen), "left")
+    under = given.select("tag").join(left, "tag", "left").where(F.coalesce("cnt", F.lit(0)) < most)
+    whole = chosen.join(left, "tag").groupBy("case_id").agg(F.min("cnt").alias("least")).where(F.col("least") > most)
+    dropped = chosen.select("case_id").distinct().count() < labels.select("case_id").distinct().count()
+    return spark.range(1).select(F.lit(dropped).alias("dropped"), F.lit(under.count()).cast("bigint").alias("tags_under"),
+                                 F.lit(whole.count()).cast("bigint").alias("cases_left"))
+
+
 cte("splits", f"""
 SELECT *, CASE WHEN {u('split', 'case_id')} < 0.8 THEN 'train' WHEN {u('split', 'case_id')} < 0.9 THEN 'val'
   ELSE 'test' END AS split FROM doc_cases""")

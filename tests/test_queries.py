@@ -24,6 +24,12 @@ def test_matches_sql(spark, folder, duck, name):
     assert check.compare(got, duck.execute(catalog.oracles()[name]).to_arrow_table()).startswith("ok")
 
 
+@pytest.mark.parametrize("name", ["predictions_wide_all", "label_matrix_all", "smooth_labels_all", "shortlist_cap_drops"])
+def test_whole_outputs_match_sql(spark, folder, duck, name):
+    got = catalog.queries()[name](spark, folder).toArrow()
+    assert check.compare(got, duck.execute(catalog.oracles()[name]).to_arrow_table()).startswith("ok")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() > 0
