@@ -331,6 +331,66 @@ def test_pipeline(spark, folder):
         assert last[r["doc_id"]]["ids_sha256"] == sha256(last[r["doc_id"]]["ids"]).hexdigest()
 
 
+def plain_grams(text):
+    words, n = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(), Counter()
+    for i, w in enumerate(words):
+        padded = f" {w} "
+        n.update(w)
+        n.update(padded[j:j + 3] for j in range(len(padded) - 2))
+        n.update(padded[j:j + 2] for j in range(len(padded) - 1))
+    return n
+
+
+def plain_rank(n):
+    return {g: i for i, (g, _) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:300])}
+
+
+def test_queries_without_sql_against_plain_python(spark, tmp_path):
+    from tokenizers import Tokenizer
+    from zlib import crc32
+    rng = random.Random(11)
+    stock = {"en": "the cat and dog are in house with that thing over there", "de": "der hund und die katze sind nicht mit dem haus über straße"}
+    rows = [(i, " ".join(rng.choice(stock[lang].split()) for _ in range(rng.randrange(1, 90))) + (f" am 2024-01-{i % 28 + 1:02d}" if i % 3 else ""),
+             lang if i % 7 else None, f"s{i % 4}", 0) for i in range(60) for lang in [("en", "de")[i % 2]]]
+    rows += [(100, None, "en", "s0", 0), (101, "", None, None, 0), (102, "12 !?", "de", "s1", 0), (5, *rows[5][1:]), (5, *rows[5][1:]),
+             (103, "the house and " * 4000, "en", "s2", 0), (None, "the dog", "en", "s3", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+
+    own = Tokenizer.from_file(queries.tokenizer_path())
+    ids = {t: own.encode(t, add_special_tokens=False).ids for t in {r[1] or "" for r in rows}}
+    assert Counter(run("op2_bpe")) == Counter((r[0], len(ids[r[1] or ""]), sha256(np.array(ids[r[1] or ""], "<u4").tobytes()).hexdigest(),
+        sha256(own.decode(ids[r[1] or ""], skip_special_tokens=False).encode()).hexdigest()) for r in rows)
+
+    learned = defaultdict(Counter)
+    for i, text, lang, *_ in rows:
+        if None not in (i, text, lang) and crc32(str(i).encode()) % 5:
+            learned[lang].update(plain_grams(text))
+    profiles, expected = {lang: plain_rank(n) for lang, n in sorted(learned.items()) if n}, Counter()
+    for i, text, *_ in rows:
+        mine = plain_rank(plain_grams(text))
+        costs = {lang: sum(min(abs(known[g] - at), 300) if g in known else 300 for g, at in mine.items()) for lang, known in profiles.items()}
+        best = min(costs, key=costs.get) if mine else "und"
+        expected[i, i is not None and crc32(str(i).encode()) % 5 == 0, best, round(1 - costs[best] / (300 * len(mine)), 9) if mine else 0.0] += 1
+    assert Counter((*r[:3], round(r[3], 9)) for r in run("op10_language")) == expected
+
+    got = run("op9_pii")
+    assert Counter((r[0], r[2]) for r in got) == Counter((r[0], int("2024" in (r[1] or ""))) for r in rows)
+    for i, text, _, pii in got:
+        given = next(r[1] for r in rows if r[0] == i)
+        assert len(pii) == 0 and text == given or text[:-10] == given[:-10] and tuple(pii[0]) == (len(given) - 10, 10, "date")
+
+    sizes, takes, got = Counter(), Counter(), run("op7_mixing")
+    for _, size, _, _, taken, source in got:
+        sizes[source] += size
+        takes[source] += taken
+    assert Counter((r[0], r[1], r[5]) for r in got) == Counter((r[0], len(words_of(r[1])), r[3]) for r in rows)
+    names = ["s0", "s1", "s2", "s3", None]
+    aims = mixing.targets([sizes[n] for n in names], [5., 2., 1., 5., 2.], 1.5 * sum(sizes.values()), 2.0)
+    assert all(abs(takes[n] - aim) <= .5 for n, aim in zip(names, aims))
+    assert {(r[5], r[2], round(r[3], 6)) for r in got} == {(n, sizes[n], round(a, 6)) for n, a in zip(names, aims)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, folder, name):
     import check
