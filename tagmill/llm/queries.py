@@ -6,13 +6,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, minhash, mixing, pseudonyms, search, substrings, urls, vectors, warc
+from . import bpe, language, minhash, mixing, pieces, pseudonyms, search, substrings, urls, vectors, warc
 from .captures import captures
 from .registry import ORACLES, QUERIES, query
 from .sql import BM25, NEAR_TEXTS, NEAR_VECTORS, REPEATS, REVISITS, URLS
 
-#: The tokenizer file, on every machine; override it with this variable.
+#: The tokenizer files, on every machine; override them with these variables.
 TOKENIZER = os.environ.get("TAGMILL_WORD_BPE")
+PIECES = os.environ.get("TAGMILL_PIECES")
 #: The key of the registered query; a real run takes its own from a secret store.
 KEY = b"tagmill pseudonyms"
 TRAINED = "pmod(crc32(cast(doc_id as string)), 5)"
@@ -25,6 +26,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_path() -> str:
+    if PIECES:
+        return PIECES
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -92,4 +100,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_pieces")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = bpe.digested(pieces.encode_pieces(_table(spark, folder, "documents"), pieces_path()))
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 __all__ = ["QUERIES", "ORACLES"]
