@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, minhash, mixing, pieces, pseudonyms, search, substrings, urls, vectors, warc
+from . import bpe, language, minhash, mixing, pieces, pseudonyms, search, substrings, urls, vectors, warc, whitening
 from .captures import captures
 from .registry import ORACLES, QUERIES, query
 from .sql import BM25, NEAR_TEXTS, NEAR_VECTORS, REPEATS, REVISITS, URLS
@@ -106,4 +106,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 __all__ = ["QUERIES", "ORACLES"]
