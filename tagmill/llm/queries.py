@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language, minhash, mixing, pieces, pseudonyms, search, substrings, urls, vectors, warc, whitening
+from . import alignment, bpe, language, minhash, mixing, pieces, pseudonyms, search, substrings, urls, vectors, warc, whitening
 from .captures import captures
 from .registry import ORACLES, QUERIES, query
 from .sql import BM25, NEAR_TEXTS, NEAR_VECTORS, REPEATS, REVISITS, URLS
@@ -14,6 +14,7 @@ from .sql import BM25, NEAR_TEXTS, NEAR_VECTORS, REPEATS, REVISITS, URLS
 #: The tokenizer files, on every machine; override them with these variables.
 TOKENIZER = os.environ.get("TAGMILL_WORD_BPE")
 PIECES = os.environ.get("TAGMILL_PIECES")
+BYTES = os.environ.get("TAGMILL_BYTE_BPE")
 #: The key of the registered query; a real run takes its own from a secret store.
 KEY = b"tagmill pseudonyms"
 TRAINED = "pmod(crc32(cast(doc_id as string)), 5)"
@@ -33,6 +34,13 @@ def pieces_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def bytes_path() -> str:
+    if BYTES:
+        return BYTES
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -106,6 +114,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op12_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.align(_table(spark, folder, "documents").select("doc_id", "text"), bytes_path(), pieces_path())
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    counted = alignment.with_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", digest.alias("groups_sha256"), "pairs"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings"))
