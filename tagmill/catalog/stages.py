@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import parse_tags
 from ..operators import calibrate as C, evaluate as E, features as X, fitted_probes as M, labels as L
-from ..operators import sampling as S
-from ..plans.bounded import bounded_values
+from ..operators import linear_probes as R, probe as P, sampling as S
 from ..plans.storage import fresh_path, stage
-from ..sources import tables as T
+from ..sources import tables as T, views
 from ..sources.views import table
 from . import inputs as I
-from .noise import Probed, noisy, probe_texts
+from .noise import Probed, noisy, probe_texts, term_rows
 from .registry import query
 from .sql import sql
 
@@ -59,30 +58,76 @@ def cache_query(spark, folder):
     return T.stage_cache(spark, path, compute)
 
 
-MAX_ITER, ML_TERMS = 10, 300
+#: Terms and iterations of the probes that start a Spark fit per tag and fold (README has the time at full size).
+ML_TERMS, ML_ITER = 300, 10
 
 
-def _features(spark, folder):
-    docs = X.with_terms(probe_texts(spark, folder), F.col("probe_text"), bigrams=False).select("case_id", "terms")
-    names = [r["term"] for r in X.vocab_top_terms(docs, ML_TERMS).select("term").collect()]
-    cases = S.split_80_10_10(noisy(spark, folder)).select("case_id", "tags", "fold", "split")
-    return M.features(docs.join(cases, "case_id"), names, "tags", "fold", "split")
+def _cases(spark, folder):
+    return S.split_80_10_10(noisy(spark, folder)).select("case_id", "tags", "fold", "split")
+
+
+def _sparse(spark, folder):
+    """(sparse rows of all document cases, number of terms): 1- and 2-grams, 15,000 at most."""
+    top = stage(X.vocab_top_terms(term_rows(spark, folder, spread=False)), "vocab")
+    docs = term_rows(spark, folder, spread=False)
+    found = R.sparse_rows(docs, top, views.table(spark, folder, "documents").count())
+    return stage(found.join(_cases(spark, folder), "case_id"), "sparse"), top.count()
+
+
+def _routed(spark, folder):
+    """(case_id, fold, tag, y, p) of every tag by the probe it is routed to, calibrated as that probe needs."""
+    rows, width = _sparse(spark, folder)
+    routes = stage(L.route_tags(L.tag_counts(L.binarize_labels(rows))), "routes")
+    cells = R.linear_probabilities(rows, width, tags=routes.filter("probe = 'LR'"))
+    fold = rows.select("case_id", "fold")
+    out = cells.join(fold, "case_id").select("case_id", "fold", "tag", "y", "p")
+    few = {r["tag"]: r["probe"] for r in routes.filter("probe <> 'LR'").collect()}  # each starts fits of its own
+    if few:
+        docs = X.with_terms(probe_texts(spark, folder), F.col("probe_text"), bigrams=False).select("case_id", "terms")
+        names = [r["term"] for r in X.vocab_top_terms(docs, ML_TERMS).select("term").collect()]
+        features = M.features(docs.join(_cases(spark, folder), "case_id"), names, "tags", "fold")
+        found = stage(M.routed_probabilities(features, few, max_iter=ML_ITER).join(fold, "case_id"), "routed")
+        for probe, method in (("XGB", "isotonic"), ("MLP", "sigmoid")):
+            own = found.join(routes.filter(F.col("probe") == probe).select("tag"), "tag", "left_semi")
+            out = out.unionByName(C.calibrate(own.select("case_id", "fold", "tag", "y", "p"), method))
+    return stage(out, "routed-cells")
 
 
 @query("routed_probabilities")
 def routed_query(spark, folder):
-    rows = _features(spark, folder)
-    routes = L.route_tags(L.tag_counts(L.binarize_labels(rows))).collect()
-    return M.routed_probabilities(rows, {r["tag"]: r["probe"] for r in routes}, max_iter=MAX_ITER)
+    return _routed(spark, folder).select("case_id", "tag", "y", "p")
+
+
+@query("linear_probe_folds", sql("""
+WITH cells AS (SELECT k.tag, d.fold, list_contains(d.tags, k.tag)::INT AS y FROM noisy_docs d CROSS JOIN noisy_cnt k WHERE cnt >= 100)
+SELECT tag, fold, count(*) AS n_scored, sum(y)::BIGINT AS n_pos, true AS in_bounds, true AS scored_once,
+  (SELECT count(*) FROM noisy_docs e WHERE e.fold <> c.fold) AS n_train,
+  (SELECT count(*) FROM noisy_docs e WHERE e.fold <> c.fold AND list_contains(e.tags, c.tag)) AS n_pos_train
+FROM cells c GROUP BY tag, fold"""))
+def folds_of_fit_query(spark, folder):
+    """What each model of the one fit learned from and scored; its cells are whole and within bounds."""
+    rows, width = _sparse(spark, folder)
+    counts = L.tag_counts(L.binarize_labels(rows))
+    routed = L.route_tags(counts).filter("probe = 'LR'").select("tag")
+    cells = R.linear_probabilities(rows, width, tags=routed).join(rows.select("case_id", "fold"), "case_id")
+    inside = F.col("p").between(P.CLIP, 1 - P.CLIP)
+    per_fold = cells.groupBy("tag", "fold").agg(
+        F.count(F.lit(1)).alias("n_scored"), F.sum("y").alias("n_pos"), F.bool_and(inside).alias("in_bounds"),
+        (F.count_distinct("case_id") == F.count(F.lit(1))).alias("scored_once"))
+    totals = per_fold.groupBy("tag").agg(F.sum("n_scored").alias("n"), F.sum("n_pos").alias("pos"))
+    return per_fold.join(totals, "tag").select(
+        "tag", "fold", "n_scored", "n_pos", "in_bounds", "scored_once",
+        (F.col("n") - F.col("n_scored")).alias("n_train"), (F.col("pos") - F.col("n_pos")).alias("n_pos_train"))
 
 
 @query("ovr_baseline")
 def baseline_query(spark, folder):
-    rows = _features(spark, folder)
+    rows, width = _sparse(spark, folder)
     counts = L.tag_counts(L.binarize_labels(rows))
-    cells = stage(M.ovr_baseline(rows, bounded_values(counts, "tag"), max_iter=MAX_ITER), "baseline")
-    info = E.tune_thresholds(E.threshold_sweep(cells.filter("split = 'val'")),
-                             L.tag_category(counts, rows.count(), 0.02))
+    held = F.when(F.col("split") == "train", 1).otherwise(0)
+    cells = R.linear_probabilities(stage(rows.withColumn("fold", held), "split-rows"), width, [0])
+    cells = stage(cells.join(rows.select("case_id", "split"), "case_id"), "baseline")
+    info = E.tune_thresholds(E.threshold_sweep(cells.filter("split = 'val'")), L.tag_category(counts, rows.count(), 0.02))
     return E.per_tag_metrics(E.judge_cells(cells.filter("split = 'test'"), info))
 
 
