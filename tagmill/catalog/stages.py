@@ -13,7 +13,7 @@ from ..sources.views import table
 from . import inputs as I
 from .noise import Probed, noisy, probe_texts, term_rows
 from .registry import query
-from .sql import sql
+from .sql import cte, sql
 
 
 @query("load_cases", sql("""
@@ -133,12 +133,35 @@ def baseline_query(spark, folder):
 
 def _calibrated(spark, folder, method):
     cells = Probed(spark, folder).probs().select("case_id", "fold", F.inline("cells"))
-    return C.calibrate(stage(cells, "cells"), method)
-
-
-@query("calibrate_isotonic")
+    # Equal texts have equal probabilities but for the order of their sums.
+    return C.calibrate(stage(cells.withColumn("p", F.round("p", 9)), "cells"), method)
+
+
+# The least value, over ends after a point, of the greatest share, over starts before it, is the isotonic fit.
+cte("iso_cells", "SELECT case_id, fold, tag, y, round(p, 9) AS p FROM probs")
+cte("iso_points", """
+SELECT f.fold, tag, p, sum(y)::DOUBLE AS pos, count(*)::DOUBLE AS n, row_number() OVER (PARTITION BY f.fold, tag ORDER BY p) AS i
+FROM iso_cells c JOIN (SELECT unnest(range(5))::INT AS fold) f ON c.fold <> f.fold GROUP BY f.fold, tag, p""")
+cte("iso_sums", """
+SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM iso_points
+WINDOW w AS (PARTITION BY fold, tag ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+cte("iso_fit", """
+SELECT fold, tag, i, max(v) AS v FROM (
+  SELECT a.fold, a.tag, a.i AS a, b.i, min((b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n)) OVER (
+    PARTITION BY a.fold, a.tag, a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v
+  FROM iso_sums a JOIN iso_sums b ON a.fold = b.fold AND a.tag = b.tag AND a.i <= b.i) GROUP BY fold, tag, i""")
+cte("iso_curve", """
+SELECT fold, tag, p AS x, v, coalesce(lead(p) OVER w, 2) AS x2, coalesce(lead(v) OVER w, v) AS v2, i
+FROM iso_fit JOIN iso_points USING (fold, tag, i) WINDOW w AS (PARTITION BY fold, tag ORDER BY i)""")
+
+
+@query("calibrate_isotonic", sql("""
+SELECT case_id, fold, tag, y, round(least(greatest(coalesce(
+  (SELECT v + (v2 - v) * (c.p - x) / (x2 - x) FROM iso_curve k WHERE k.fold = c.fold AND k.tag = c.tag AND c.p >= x AND c.p < x2),
+  (SELECT v FROM iso_curve k WHERE k.fold = c.fold AND k.tag = c.tag AND i = 1), p), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE), 6) AS p
+FROM iso_cells c"""))
 def isotonic_query(spark, folder):
-    return _calibrated(spark, folder, "isotonic")
+    return _calibrated(spark, folder, "isotonic").withColumn("p", F.round("p", 6))
 
 
 @query("calibrate_sigmoid")

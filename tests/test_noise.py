@@ -127,3 +127,41 @@ def test_asymmetric_loss_by_hand(spark):
     got = {r["tag"]: r["loss"] for r in asymmetric_loss(cells, 4).collect()}
     want = -(math.log(0.8) * 0.2 + math.log(0.75) * 0.3 ** 4) / 2
     assert got["a"] == pytest.approx(want) and got["ALL"] == pytest.approx(want)
+
+
+def min_max(points):
+    """The isotonic fit of (pos, n) in order, by its definition."""
+    share = lambda a, b: sum(p for p, _ in points[a:b + 1]) / sum(n for _, n in points[a:b + 1])
+    last = len(points)
+    return [max(min(share(a, b) for b in range(i, last)) for a in range(i + 1)) for i in range(last)]
+
+
+def test_isotonic_curves_are_exact_however_a_tag_is_dealt(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(240), 3)
+    rows = [(i, i % 5, "hot" if i % 6 else "small", int(rng.random() < v), float(v)) for i, v in enumerate(p)]
+    cells = spark.createDataFrame(rows, "case_id long, fold int, tag string, y int, p double")
+    got = {r["case_id"]: r["p"] for r in C.calibrate(cells).collect()}
+    for f in range(5):
+        for tag in ("hot", "small"):
+            others = [r for r in rows if r[1] != f and r[2] == tag]
+            xs = sorted({r[4] for r in others})
+            fit = min_max([(sum(r[3] for r in others if r[4] == x), sum(r[4] == x for r in others)) for x in xs])
+            for r in rows:
+                if r[1] == f and r[2] == tag:
+                    want = min(max(np.interp(r[4], xs, fit), P.CLIP), 1 - P.CLIP)
+                    assert got[r[0]] == pytest.approx(want, abs=1e-12)
+
+
+def test_pooling_parts_and_then_their_blocks_is_pooling_all():
+    rng = np.random.default_rng(6)
+    points = [(float(rng.integers(0, 3)), 2.0, float(x), float(x)) for x in range(200)]
+    parts = [b for at in range(0, 200, 17) for b in C.pooled(points[at:at + 17])]
+    assert C.pooled(parts) == C.pooled(points)
+
+
+def test_calibration_of_nothing_and_of_a_single_fold(spark):
+    schema = "case_id long, fold int, tag string, y int, p double"
+    assert C.calibrate(spark.createDataFrame([], schema)).collect() == []
+    alone = spark.createDataFrame([(1, 0, "a", 1, 0.3), (2, 0, "a", 0, 0.6)], schema)
+    assert {r["case_id"]: r["p"] for r in C.calibrate(alone).collect()} == {1: 0.3, 2: 0.6}
