@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import build_input_text, build_probe_text, tokens
-from ..operators import evaluate as E, features as X, labels as L, noise as N, probe as P
+from ..operators import cleaning as Q, evaluate as E, features as X, labels as L, noise as N, probe as P
 from ..plans.bounded import bounded_values, string_array
 from ..plans.storage import stage
 from ..sources import views
@@ -195,6 +195,66 @@ def issues_query(spark, folder):
     return _round(found, "p", "self_confidence")
 
 
+cte("judged", """
+SELECT case_id, tag, y, p, CASE WHEN p >= t1 AND 1 - p >= t0 THEN (p >= 0.5)::INT WHEN p >= t1 THEN 1 WHEN 1 - p >= t0 THEN 0 END AS t
+FROM probs JOIN conf_t USING (tag)""")
+cte("joint", """
+SELECT tag, n0, n1, n_00, n_01, n_10, n_11, round(n_01)::BIGINT AS off_0, round(n_10)::BIGINT AS off_1 FROM (
+  SELECT tag, n0, n1, CASE WHEN c00 + c01 > 0 THEN c00 * n0 / (c00 + c01)::DOUBLE ELSE n0 END AS n_00,
+    CASE WHEN c00 + c01 > 0 THEN c01 * n0 / (c00 + c01)::DOUBLE ELSE 0 END AS n_01,
+    CASE WHEN c10 + c11 > 0 THEN c10 * n1 / (c10 + c11)::DOUBLE ELSE 0 END AS n_10,
+    CASE WHEN c10 + c11 > 0 THEN c11 * n1 / (c10 + c11)::DOUBLE ELSE n1 END AS n_11
+  FROM (SELECT tag, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0 AND t = 0) AS c00,
+    count(*) FILTER (y = 0 AND t = 1) AS c01, count(*) FILTER (y = 1 AND t = 0) AS c10, count(*) FILTER (y = 1 AND t = 1) AS c11
+    FROM judged GROUP BY tag))""")
+
+
+@query("confident_joint", sql("""
+SELECT tag, n0, n1, round(n_00, 6) AS n_00, round(n_01, 6) AS n_01, round(n_10, 6) AS n_10, round(n_11, 6) AS n_11, off_0, off_1 FROM joint"""))
+def joint_query(spark, folder):
+    cells = E.cells_of(stage(Probed(spark, folder).probs(), "probs"))
+    return _round(Q.confident_joint(cells), "n_00", "n_01", "n_10", "n_11")
+
+
+@query("prune_by_joint", sql("""
+SELECT case_id, tag, y, round(p, 6) AS p, round(s, 6) AS self_confidence, rank FROM (
+  SELECT case_id, tag, y, p, s, row_number() OVER (PARTITION BY tag, y ORDER BY s, case_id) AS rank
+  FROM (SELECT *, round(q, 9) AS s FROM probs)) JOIN joint USING (tag)
+WHERE rank <= CASE WHEN y = 1 THEN off_1 ELSE off_0 END"""))
+def prune_query(spark, folder):
+    cells = E.cells_of(stage(Probed(spark, folder).probs(), "probs"))
+    return _round(Q.prune_by_joint(cells), "p", "self_confidence")
+
+
+#: Three documents of every thousand share a tag of their own, too rare for a probe at any size of the table.
+cte("trio", "SELECT case_id, 'trio:' || (case_id // 1000) AS tag FROM noisy_docs WHERE case_id % 1000 IN (1, 2, 3)")
+
+
+def _with_trios(cases):
+    trio = F.when((F.col("case_id") % 1000).isin(1, 2, 3), F.concat(F.lit("trio:"), F.expr("case_id div 1000")))
+    return cases.withColumn("tags", F.array_compact(F.concat("tags", F.array(trio))))
+
+
+@query("clean_pipeline", sql("""
+WITH near_sims AS (SELECT case_id, tag, max(s) AS s FROM (SELECT v.case_id, l.tag, l.case_id AS pos, sum(v.w * q.w) AS s
+  FROM tfidf v JOIN tfidf q USING (term) JOIN trio l ON l.case_id = q.case_id GROUP BY v.case_id, l.tag, pos) GROUP BY ALL),
+near_spans AS (SELECT tag, CASE WHEN count(*) < (SELECT count(*) FROM noisy_docs) THEN 0 ELSE min(s) END AS lo, max(s) AS hi FROM near_sims GROUP BY tag),
+near_scores AS (SELECT case_id, tag, p >= 0.3 AS kept FROM probs JOIN (SELECT tag FROM noisy_cnt WHERE cnt >= 5) USING (tag) WHERE y = 1
+  UNION ALL SELECT case_id, tag, true FROM noisy_labels JOIN (SELECT tag FROM noisy_cnt WHERE cnt < 5) USING (tag)
+  UNION ALL SELECT t.case_id, t.tag, hi IS NULL OR coalesce((s - lo) / (hi - lo + 1e-9::DOUBLE), 0) >= 0.3
+  FROM trio t LEFT JOIN near_spans USING (tag) LEFT JOIN near_sims m ON m.case_id = t.case_id AND m.tag = t.tag),
+marked AS (SELECT case_id, string_agg(tag, '|' ORDER BY tag) AS original, string_agg(tag, '|' ORDER BY tag) FILTER (kept) AS cleaned,
+  string_agg(tag, '|' ORDER BY tag) FILTER (NOT kept) AS removed FROM near_scores GROUP BY case_id)
+SELECT case_id, coalesce(original, '') AS original, coalesce(cleaned, '') AS cleaned, coalesce(removed, '') AS removed,
+  cleaned IS NULL AS is_unlabeled FROM noisy_docs LEFT JOIN marked USING (case_id)"""))
+def pipeline_query(spark, folder):
+    """Probes where a tag has enough positives, similarity where it has not, then the cleaning."""
+    probed = Probed(spark, folder)
+    cases = stage(_with_trios(noisy(spark, folder).select("case_id", "tags")), "trio-cases")
+    out = Q.clean_flow(cases, E.cells_of(stage(probed.probs(), "probs")), probed.features())
+    return out.select("case_id", *[F.array_join(c, "|").alias(c) for c in ("original", "cleaned", "removed")], "is_unlabeled")
+
+
 @query("clean_labels", sql("SELECT case_id, original, cleaned FROM cleaned"))
 def clean_query(spark, folder):
     out = N.clean_labels(Probed(spark, folder).probs())
