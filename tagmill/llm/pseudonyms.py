@@ -10,7 +10,12 @@ validity stay as they were. What fails validation is left alone, but shorter val
 start and values that begin inside it are looked for, as other digits or capitals may
 stand right beside a value.
 
-Kinds: payment card numbers of 13 to 19 digits (Luhn), IBANs (mod 97), US social security
+Rows of numbers are not values: one whose groups are apart by a sign, as in 4111 1111 1111
+1111, is left alone where more than three further groups follow or precede it with the same
+sign, unless these are cards too.
+
+Kinds: payment card numbers (Luhn, an issuer's first digits, unbroken with 13 to 19 digits
+or in groups of 4-4-4-4, 4-6-5 or 4-6-4 with one sign between), IBANs (mod 97), US social security
 numbers (issuable ranges), phone numbers written with + and a country code, North American
 ones (area and exchange from 200) and those of 10 to 12 digits with a leading 0, IPv4
 addresses (four octets), dates of 1900 to 2099 (calendar), mail addresses (letters and
@@ -30,6 +35,8 @@ from math import isqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .slices import in_slices
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _PATTERNS = {
@@ -59,9 +66,12 @@ _IBAN_LENGTHS = {c: int(n) for n, *codes in map(str.split, (
     "22 BG BH CR DE GB GE IE ME RS VA", "23 AE GI IL IQ OM SO TL", "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST",
     "26 IS TR", "27 BI DJ FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HU LB NI PL SV", "29 BR EG PS QA UA", "30 JO KW MU YE",
     "31 MT SC", "32 LC", "33 RU")) for c in codes}
-#: First digits of card issuers, and how cards are written; what looks so goes before what does not.
+#: First digits of card issuers, and how cards are written.
 _ISSUER = re.compile(r"3[0-9]|4|5[0-9]|6|2(?:2[2-9]|[3-6]|7[01]|720)")
 _SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))}
+#: So many other numbers may stand in one row with a value whose groups are apart by the same sign.
+STRANGERS = 3
+_GROUPED = re.compile(r"[0-9]+(?:([ .-])[0-9]+)(?:\1[0-9]+)*")
 _SIGN = re.compile(r"[0-9]")
 
 
@@ -102,11 +112,12 @@ def luhn(digits: str) -> int:
 
 def _card(text: str, key: bytes) -> str | None:
     digits = _digits(text)
-    if luhn(digits) % 10 or not int(digits):
+    if luhn(digits) % 10 or not _ISSUER.match(digits):
         return None
     body = len(digits) - 1
-    new = f"{permute(int(digits[:-1]), 10 ** body, key, f'card{body}'):0{body}d}"
-    return _refill(text, new + str(-luhn(new + "0") % 10))
+    new = _walk(int(digits[:-1]), 10 ** body, key, f"card{body}", lambda n: bool(_ISSUER.match(f"{n:0{body}d}")))
+    number = f"{new:0{body}d}"
+    return _refill(text, number + str(-luhn(number + "0") % 10))
 
 
 def _mod97(compact: str) -> int:
@@ -214,7 +225,7 @@ _MAKE: dict[str, Callable[[str, bytes], str | None]] = {
     "card": _card}
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _MAKE[kind](value, key)
 
@@ -225,36 +236,58 @@ def _iban_of(size: int) -> re.Pattern:
     return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{full}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "") + _CLOSE)
 
 
-def _card_ends(text: str, start: int) -> list[tuple[bool, int]]:
-    """(looks like a card, end) of the values of 13 to 19 digits at a start that pass, such looks first."""
-    found, group, groups, digits, at = [], 0, [], "", start
+def _is_card(digits: str) -> bool:
+    return bool(_ISSUER.match(digits)) and not luhn(digits) % 10
+
+
+def _card_ends(text: str, start: int) -> Iterator[int]:
+    """Ends of the cards that begin at a place, the longest first."""
+    group, groups, digits, at, sign, found = 0, [], "", start, None, []
     while len(digits) < 19 and at < len(text) and text[at] in "0123456789":
         digits, group, at = digits + text[at], group + 1, at + 1
-        whole = at == len(text) or text[at] not in "0123456789"
-        if whole and len(digits) >= 13 and _ENDS.match(text, at) and int(digits) and not luhn(digits) % 10:
-            found.append((bool(_ISSUER.match(digits)) and (*groups, group) in _SHAPES, at))
-        if whole:
-            groups, group = [*groups, group], 0
-            if at < len(text) and text[at] in " -":
-                at += 1
-    return sorted(found, key=lambda f: (not f[0], -f[1]))
-
-
-def _card_end(text: str, start: int) -> int | None:
-    ends = _card_ends(text, start)
-    if not ends:
-        return None
-    likely, end = ends[0]
-    if not likely and any(text[at - 1] in " -" and any(good for good, _ in _card_ends(text, at)) for at in range(start + 1, end)):
-        return None  # its digits pass by chance: a likelier card begins inside
-    return end
+        if at < len(text) and text[at] in "0123456789":
+            continue
+        groups, group = [*groups, group], 0
+        if tuple(groups) in _SHAPES and _ENDS.match(text, at) and _is_card(digits):
+            found.append(at)
+        if at < len(text) and text[at] in " -" and sign in (None, text[at]):
+            sign, at = text[at], at + 1
+    return reversed(found)
+
+
+def _in_a_row(text: str, start: int, end: int, cards: bool) -> bool:
+    """Whether more than ``STRANGERS`` other groups stand before or behind a value, apart by its own sign.
+
+    Neighbours that are cards of four groups are no strangers to a card.
+    """
+    inside = _GROUPED.fullmatch(text, start, end)
+    if not inside:
+        return False
+    sign, left, right = inside[1], [], []
+    at = start
+    while len(left) < 64 and at > 1 and text[at - 1] == sign and text[at - 2] in "0123456789":
+        stop = at = at - 1
+        while at and text[at - 1] in "0123456789":
+            at -= 1
+        left.append(text[at:stop])
+    at = end
+    while len(right) < 64 and at + 1 < len(text) and text[at] == sign and text[at + 1] in "0123456789":
+        begin = at = at + 1
+        while at < len(text) and text[at] in "0123456789":
+            at += 1
+        right.append(text[begin:at])
+    others = 0
+    for side, order in ((left, -1), (right, 1)):
+        while cards and len(side) >= 4 and all(len(g) == 4 for g in side[:4]) and _is_card("".join(side[:4][::order])):
+            side = side[4:]
+        others += len(side)
+    return others > STRANGERS
 
 
 def _ends(kind: str, text: str, start: int) -> Iterator[int]:
     """Where a value of the kind may end, in the order in which they are tried."""
     if kind == "card":
-        if (end := _card_end(text, start)) is not None:
-            yield end
+        yield from _card_ends(text, start)
         return
     own = _IBAN_LENGTHS.get(text[start:start + 2]) if kind == "iban" else None
     shorter: list[re.Pattern] = {"phone": [_SHORT_PHONE], "trunk": _SHORT_TRUNK}.get(kind, [])
@@ -272,7 +305,7 @@ def _value_at(text: str, start: int, key: bytes) -> tuple[str, int, str] | None:
     """(kind, end, pseudonym) of the value that begins at a place."""
     for kind in KINDS:
         for end in _ends(kind, text, start):
-            if (new := _pseudonym(kind, text[start:end], key)) is not None:
+            if (new := _pseudonym(kind, text[start:end], key)) is not None and not _in_a_row(text, start, end, kind == "card"):
                 return kind, end, new
     return None
 
@@ -306,7 +339,7 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     spans = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [rewrite(t, key) for t in batch.column("text").to_pylist()]
             columns = [pa.array([t for t, _ in found], pa.string()) if f.name == "text" else batch.column(f.name) for f in kept]
             pii = pa.array([[dict(zip(("start", "length", "kind"), s)) for s in each] for _, each in found], spans)

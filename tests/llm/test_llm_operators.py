@@ -144,6 +144,34 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymize(table(spark, []), KEY).count() == 0
 
 
+def test_rows_of_numbers_stay():
+    """Tables of random numbers hold digits that pass as cards or phones by chance; none is rewritten."""
+    rng = random.Random(9)
+    for sign in " -":
+        for width in (4, 3, 2):
+            for _ in range(500):
+                line = sign.join(str(rng.randrange(10 ** width)) for _ in range(12))
+                assert pseudonyms.rewrite(line, KEY) == (line, []), line
+
+
+def test_planted_cards_and_phones_in_bulk():
+    """Each card keeps its shape, sign, issuer and check digit, and equal ones stay equal in any shape."""
+    rng = random.Random(10)
+    for n in range(400):
+        body = rng.choice(["4", "51", "34", "6011", "2221"])
+        body += "".join(rng.choice("0123456789") for _ in range(15 - len(body)))
+        digits = body + str(-pseudonyms.luhn(body + "0") % 10)
+        sign = rng.choice(["", " ", "-"])
+        card = sign.join(digits[i:i + 4] for i in range(0, 16, 4))
+        text = f"paid {n} with {card}, thanks"
+        new, spans = pseudonyms.rewrite(text, KEY)
+        assert [(s[0], s[2]) for s in spans] == [(text.index(card), "card")], text
+        made = new[spans[0][0]:spans[0][0] + spans[0][1]]
+        assert [c for c in made if not c.isdigit()] == [c for c in card if not c.isdigit()]
+        plain = pseudonyms.rewrite(digits, KEY)[0]
+        assert pseudonyms._digits(made) == plain and not pseudonyms.luhn(plain) % 10 and pseudonyms._ISSUER.match(plain)
+
+
 def test_values_beside_other_digits_and_capitals_get_pseudonyms():
     card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
     for text, value, kind in [
