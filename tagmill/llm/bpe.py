@@ -38,7 +38,7 @@ from .words import WORD
 LONG = 512
 LEAF = 256
 SPREAD = 200_000
-CACHED = 100_000
+CACHED = 200_000
 AGREE = 2
 TEXT, PIECES, INNER, LAST = range(4)
 _CHUNK = re.compile(WORD.pattern.decode())
