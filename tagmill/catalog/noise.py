@@ -394,7 +394,7 @@ def fallback_query(spark, folder):
     cases = stage(I.cases(spark, folder), "cases")
     n = cases.count()
     counts = L.tag_counts(L.binarize_labels(cases))
-    few = bounded_values(counts.filter(F.col("cnt") < max(5, int(n * 0.0005))), "tag")
+    few = counts.filter(F.col("cnt") < max(5, int(n * 0.0005)))
     text = build_probe_text(F.col("service"), F.array_join("keywords", ", "))
     docs = X.with_terms(X.spread_by_case(cases), text, bigrams=False)
     top = X.vocab_top_terms(docs)

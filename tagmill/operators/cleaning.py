@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.bounded import small_side
 from ..plans.storage import stage
-from .noise import NOISE_THRESHOLD, confident_thresholds
+from .noise import NOISE_THRESHOLD, confident_thresholds, similarity_fallback
 from .probe import safe_folds
 
 
@@ -62,22 +62,6 @@ def prune_by_joint(cells: DataFrame, joint: DataFrame | None = None, digits: int
     return ranked.select("case_id", "tag", "y", "p", "self_confidence", "rank")
 
 
-def similarity_fallback(labels: DataFrame, features: DataFrame, n_cases: int) -> DataFrame:
-    """(case_id, tag, similarity, p) for cells that share a term with a positive of the tag; all others have p 0.
-
-    ``labels`` (case_id, tag) of the tags to score, ``features`` unit-length (case_id, term,
-    w). The greatest cosine to any positive, itself included, scaled from the tag's least to
-    its greatest over all ``n_cases``. No cell is formed for a case without a shared term, and
-    no list of tags is held. A tag whose positives have no terms is absent.
-    """
-    known = labels.join(features, "case_id").select("tag", F.col("case_id").alias("pos_id"), "term", F.col("w").alias("pw"))
-    dots = features.join(small_side(known), "term").groupBy("case_id", "tag", "pos_id").agg(F.sum(F.col("w") * F.col("pw")).alias("s"))
-    best = stage(dots.groupBy("case_id", "tag").agg(F.max("s").alias("similarity")), "similar")
-    spans = best.groupBy("tag").agg(F.when(F.count(F.lit(1)) < n_cases, 0.0).otherwise(F.min("similarity")).alias("lo"), F.max("similarity").alias("hi"))
-    scaled = (F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)
-    return best.join(small_side(spans), "tag").select("case_id", "tag", "similarity", scaled.alias("p"))
-
-
 def clean_flow(cases: DataFrame, cells: DataFrame, features: DataFrame, threshold: float = NOISE_THRESHOLD,
                joint: bool = False) -> DataFrame:
     """(case_id, original, cleaned, removed, is_unlabeled): labels that their scores do not support are removed.

@@ -159,27 +159,33 @@ def smooth_labels(cells: DataFrame, base_smooth: float, noise: str = "noise") ->
     return cells.withColumn("target", F.col("y") * (1 - s) + s * 0.5)
 
 
-def max_similarity_to_positives(cases: DataFrame, features: DataFrame, tags: list[str]) -> DataFrame:
-    """Stand-in probability for tags too rare to probe: (case_id, tag, similarity, p).
+def similarity_fallback(labels: DataFrame, features: DataFrame, n_cases: int) -> DataFrame:
+    """(case_id, tag, similarity, p) for cells that share a term with a positive of the tag; all others have p 0.
 
-    ``features`` are unit-length (case_id, term, w). Only terms of the few positives take
-    part; their table is broadcast within the bound and joined on the term otherwise. A
-    case that shares no term has similarity 0. Scores are min-max scaled per tag.
+    ``labels`` (case_id, tag) of the tags to score, ``features`` unit-length (case_id, term,
+    w). The greatest cosine to any positive, itself included, scaled from the tag's least to
+    its greatest over all ``n_cases``. No cell is formed for a case without a shared term, and
+    no list of tags is held. A tag whose positives have no terms is absent.
     """
-    wanted = string_array(tags)
-    positives = cases.select("case_id", F.explode(F.array_intersect("tags", wanted)).alias("tag"))
-    known = positives.join(features, "case_id").select(
-        "tag", F.col("case_id").alias("pos_id"), "term", F.col("w").alias("pw"))
-    dots = features.join(small_side(known), "term").groupBy("case_id", "tag", "pos_id").agg(
-        F.sum(F.col("w") * F.col("pw")).alias("sim"))
-    best = dots.groupBy("case_id", "tag").agg(F.max("sim").alias("sim"))
-    cells = cases.select("case_id", F.explode(wanted).alias("tag")).join(best, ["case_id", "tag"], "left").select(
-        "case_id", "tag", F.coalesce("sim", F.lit(0.0)).alias("similarity"))
-    cells = stage(cells, "similar")
-    spans = cells.groupBy("tag").agg(F.min("similarity").alias("lo"), F.max("similarity").alias("hi"))
-    s = F.col("similarity")
-    return cells.join(F.broadcast(spans), "tag").select(
-        "case_id", "tag", "similarity", ((s - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)).alias("p"))
+    known = labels.join(features, "case_id").select("tag", F.col("case_id").alias("pos_id"), "term", F.col("w").alias("pw"))
+    dots = features.join(small_side(known), "term").groupBy("case_id", "tag", "pos_id").agg(F.sum(F.col("w") * F.col("pw")).alias("s"))
+    best = stage(dots.groupBy("case_id", "tag").agg(F.max("s").alias("similarity")), "similar")
+    spans = best.groupBy("tag").agg(F.when(F.count(F.lit(1)) < n_cases, 0.0).otherwise(F.min("similarity")).alias("lo"), F.max("similarity").alias("hi"))
+    scaled = (F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)
+    return best.join(small_side(spans), "tag").select("case_id", "tag", "similarity", scaled.alias("p"))
+
+
+def max_similarity_to_positives(cases: DataFrame, features: DataFrame, tags: DataFrame) -> DataFrame:
+    """Stand-in probability for tags too rare to probe: (case_id, tag, similarity, p), every case with every tag.
+
+    ``tags`` is a table with a column tag, of any size. A case that shares no term with a
+    positive has similarity 0; ``similarity_fallback`` gives the other cells alone.
+    """
+    wanted = tags.select("tag").distinct()
+    labels = cases.select("case_id", F.explode(F.array_distinct("tags")).alias("tag")).join(small_side(wanted), "tag", "left_semi")
+    near = similarity_fallback(labels, features, cases.count())
+    cells = cases.select("case_id").crossJoin(small_side(wanted)).join(near, ["case_id", "tag"], "left")
+    return cells.select("case_id", "tag", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
 def mismatch_tokens(preds: DataFrame, features: DataFrame, weights: DataFrame, vocab: list[str],

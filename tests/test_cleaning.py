@@ -71,3 +71,16 @@ def test_the_flow_by_the_joint_never_adds(spark):
     flow = Q.clean_flow(spark.createDataFrame(cases, "case_id long, tags array<string>"), spark.createDataFrame(rows, CELLS), features, joint=True)
     removed = {(r["case_id"], t) for r in flow.collect() for t in r["removed"]}
     assert removed == {(r["case_id"], r["tag"]) for r in Q.prune_by_joint(spark.createDataFrame(rows, CELLS)).collect() if r["y"] == 1}
+
+
+def test_similarity_takes_any_number_of_tags(spark):
+    """More tags than any list on the driver was allowed to hold; none is lost."""
+    from pyspark.sql import functions as F
+    from tagmill.operators import noise as N
+    cases = spark.createDataFrame([(1, ["t7", "t150000"]), (2, ["t7"]), (3, None)], "case_id long, tags array<string>")
+    features = spark.createDataFrame([(1, "x", 0.6), (1, "y", 0.8), (2, "x", 1.0), (3, "z", 1.0)], "case_id long, term string, w double")
+    tags = spark.range(150_001).select(F.concat(F.lit("t"), F.col("id")).alias("tag"))
+    cells = N.max_similarity_to_positives(cases, features, tags)
+    assert cells.count() == 3 * 150_001
+    got = {(r["case_id"], r["tag"]): r["similarity"] for r in cells.where("similarity > 0").collect()}
+    assert got == pytest.approx({(1, "t7"): 1.0, (2, "t7"): 1.0, (1, "t150000"): 1.0, (2, "t150000"): 0.6})
