@@ -406,10 +406,10 @@ cte("mismatch", """
 WITH wrong AS (SELECT case_id, fold, tag, p, CASE WHEN y = 1 THEN 'MISSED' ELSE 'FALSE ALARM' END AS direction FROM probs
   WHERE y <> (p >= 0.5)::INT),
 c AS (SELECT x.case_id, x.tag, direction, p, t.term, w * abs(weight) AS v FROM wrong x JOIN tfidf t ON t.case_id = x.case_id
-  JOIN bi_probe b ON b.fold = x.fold AND b.term = t.term AND b.tag = x.tag AND b.cp > 0)
+  JOIN bi_probe b ON b.fold = x.fold AND b.term = t.term AND b.tag = x.tag)
 SELECT case_id, tag, direction, round(p * 100, 1) AS conf_pct, rn AS rank, term, v / total * 100 AS share_pct FROM (
   SELECT *, sum(v) OVER (PARTITION BY case_id, tag) AS total,
-    row_number() OVER (PARTITION BY case_id, tag ORDER BY v DESC, term) AS rn FROM c) WHERE rn <= 8""")
+    row_number() OVER (PARTITION BY case_id, tag ORDER BY round(v, 9) DESC, term) AS rn FROM c) WHERE rn <= 8""")
 
 
 def _mismatch_tokens(spark, folder):
@@ -417,16 +417,18 @@ def _mismatch_tokens(spark, folder):
     cell = lambda c: F.struct(c["tag"].alias("tag"), c["y"].alias("y"), c["p"].alias("p"),
                               (c["p"] >= 0.5).cast("int").alias("pred"))
     judged = probed.probs().withColumn("cells", F.transform("cells", cell))
-    return N.mismatch_tokens(judged, probed.features(), probed.probe.term_weights(), probed.vocab)
+    return N.mismatch_tokens(judged, probed.features(), probed.probe)
 
 
 @query("mismatch_tokens", sql("""
-SELECT case_id, tag, direction, conf_pct, count(*) AS n_tokens, round(sum(share_pct), 5) AS share_pct
+SELECT case_id, tag, direction, conf_pct, count(*) AS n_tokens, round(sum(share_pct), 5) AS share_pct,
+  string_agg(term, '|' ORDER BY rank) AS terms
 FROM mismatch GROUP BY ALL"""))
 def mismatch_query(spark, folder):
     out = _mismatch_tokens(spark, folder)
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]), "|")
     return out.groupBy("case_id", "tag", "direction", "conf_pct").agg(
-        F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("share_pct"), 5).alias("share_pct"))
+        F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("share_pct"), 5).alias("share_pct"), told.alias("terms"))
 
 
 @query("mismatch_token_freq", sql("""

@@ -29,6 +29,20 @@ def quota_query(spark, folder):
     return S.quota_sample(I.cases(spark, folder))
 
 
+@query("quota_walk", sql(f"""
+SELECT * FROM (WITH RECURSIVE lists AS (
+  SELECT row_number() OVER (ORDER BY keyword) AS i, keyword, list(case_id ORDER BY {u('quota-walk', "keyword || ':' || case_id")}, case_id) AS ids
+  FROM case_kw GROUP BY keyword),
+walk AS (
+  SELECT 0::BIGINT AS i, NULL::VARCHAR AS keyword, []::BIGINT[] AS took, []::BIGINT[] AS seen
+  UNION ALL SELECT i, keyword, took, list_concat(seen, took) FROM (
+    SELECT l.i, l.keyword, list_filter(l.ids, lambda x: NOT list_contains(w.seen, x))[1:20] AS took, w.seen
+    FROM walk w JOIN lists l ON l.i = w.i + 1))
+SELECT unnest(took) AS case_id, keyword FROM walk WHERE i > 0)"""))
+def quota_walk_query(spark, folder):
+    return S.quota_walk(I.cases(spark, folder))
+
+
 @query("inverse_freq_fill", sql(f"""
 SELECT case_id, round(weight, 9) AS weight FROM kw_weight ORDER BY {_KEY.replace('/ weight', '/ kw_weight.weight')}, case_id LIMIT 3500"""))
 def fill_query(spark, folder):
@@ -79,6 +93,31 @@ def shortlist_coverage_query(spark, folder):
     return S.shortlist_coverage(chosen, 300)
 
 
+_WALKED = """
+counts AS (SELECT tag, count(*) AS cnt, row_number() OVER (ORDER BY tag) AS idx FROM walked GROUP BY tag),
+turns AS (SELECT row_number() OVER (ORDER BY case_id) AS i, case_id, list(idx) AS own FROM walked JOIN counts USING (tag) GROUP BY case_id),
+walk AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS case_id, false AS gone, (SELECT list(cnt ORDER BY idx) FROM counts) AS covered
+  UNION ALL SELECT i, case_id, gone, CASE WHEN gone THEN list_transform(covered, lambda c, k: c - list_contains(own, k)::BIGINT) ELSE covered END
+  FROM (SELECT t.i, t.case_id, t.own, w.covered,
+    len(list_filter(t.own, lambda k: w.covered[k] <= 300)) = 0 AS gone FROM walk w JOIN turns t ON t.i = w.i + 1))"""
+
+
+@query("shortlist_cap_walk")  # its SQL walks every case and takes minutes; tests walk a small table
+def cap_walk_query(spark, folder):
+    """The cases dropped at a maximum of two thirds of the least common tag."""
+    labels = stage(L.binarize_labels(I.cases(spark, folder)), "labels")
+    return S.cap_walk(labels, L.tag_counts(labels).agg(F.min("cnt")).first()[0] * 2 // 3)
+
+
+@query("shortlist_balanced", sql(f"""
+SELECT * FROM (WITH RECURSIVE walked AS (SELECT * FROM labels_all WHERE case_id IN (SELECT case_id FROM short_ids)),
+{_WALKED}
+SELECT case_id, tag FROM walked WHERE case_id NOT IN (SELECT case_id FROM walk WHERE gone))"""))
+def balanced_query(spark, folder):
+    return S.shortlist_balanced(L.binarize_labels(I.cases(spark, folder)), 300, 300)
+
+
 @query("shortlist_cap")
 def cap_query(spark, folder):
     labels = stage(L.binarize_labels(I.cases(spark, folder)), "labels")

@@ -188,26 +188,36 @@ def max_similarity_to_positives(cases: DataFrame, features: DataFrame, tags: Dat
     return cells.select("case_id", "tag", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
-def mismatch_tokens(preds: DataFrame, features: DataFrame, weights: DataFrame, vocab: list[str],
-                    k: int = 8) -> DataFrame:
+def mismatch_tokens(preds: DataFrame, features: DataFrame, probe, k: int = 8) -> DataFrame:
     """The k tokens that speak most for each missed or falsely raised tag.
 
-    Contribution = TF-IDF x |weight of (tag, term)|, as a share of the case's total.
-    ``preds`` carries ``fold`` and judged cells; ``features`` (case_id, term, w);
-    ``weights`` (fold, term, idx, weight).
+    Contribution = TF-IDF x |weight of (tag, term)|, as a share of the case's total over all
+    its terms, whether or not a term ever met the tag. ``preds`` carries ``fold`` and judged
+    cells; ``features`` (case_id, term, w); ``probe`` learnt the weights. Contributions that
+    agree to nine digits go by the term. Cells, terms and weights meet inside the row of a
+    case: nothing larger than its bag and its wrong cells is made. A case without features
+    or without wrong cells has no rows.
     """
-    wrong = F.filter("cells", lambda c: c["y"] != c["pred"])
-    cells = preds.select("case_id", "fold", F.inline(wrong)).select(
-        "case_id", "fold", "tag", "p",
-        F.when(F.col("y") == 1, "MISSED").otherwise("FALSE ALARM").alias("direction"),
-        F.array_position(string_array(vocab), F.col("tag")).cast("int").alias("idx"))
-    rows = cells.join(features.select("case_id", "term", "w"), "case_id").join(
-        weights, ["fold", "term", "idx"]).withColumn("v", F.col("w") * F.abs("weight"))
-    cell = W.partitionBy("case_id", "tag")
-    ranked = rows.withColumn("total", F.sum("v").over(cell)).withColumn(
-        "rank", F.row_number().over(cell.orderBy(F.desc("v"), "term")).cast("bigint")).filter(F.col("rank") <= k)
-    return ranked.select("case_id", "tag", "direction", F.round(F.col("p") * 100, 1).alias("conf_pct"), "rank",
-                         "term", (F.col("v") / F.col("total") * 100).alias("share_pct"))
+    wrong = F.transform(F.filter("cells", lambda c: c["y"] != c["pred"]), lambda c: F.struct(
+        c["tag"].alias("tag"), c["y"].alias("y"), c["p"].alias("p"), F.array_position(string_array(probe.vocab), c["tag"]).cast("int").alias("idx")))
+    cells = preds.select("case_id", "fold", wrong.alias("wrong")).where(F.size("wrong") > 0)
+    bags = features.groupBy("case_id").agg(F.collect_list(F.struct("term", "w")).alias("bag"))
+    asked = stage(cells.withColumn("wanted", F.col("wrong.idx")).join(bags, "case_id"), "mismatches")
+    rows = probe.evidence(asked.select("case_id", "fold", "wanted", "bag")).join(asked.select("case_id", "wrong"), "case_id")
+
+    def share(c: Column) -> Column:
+        def weight(t: Column) -> Column:
+            gain = F.coalesce(F.get(F.filter(t["met"], lambda e: e["idx"] == c["idx"]), 0)["g"], F.lit(0.0))
+            v = t["w"] * F.abs(F.coalesce(F.try_element_at("biases", c["idx"]), F.lit(0.0)) + t["base"] + gain)
+            return F.struct((-F.round(v, 9)).alias("key"), t["term"].alias("term"), v.alias("v"))
+        return F.struct(c["tag"].alias("tag"), c["y"].alias("y"), c["p"].alias("p"), F.array_sort(F.transform("terms", weight)).alias("by"))
+
+    told = rows.select("case_id", F.explode(F.transform("wrong", share)).alias("c")).select("case_id", "c.*")
+    total = F.aggregate("by", F.lit(0.0), lambda s, e: s + e["v"])
+    best = told.withColumn("total", total).select("case_id", "tag", "y", "p", "total", F.posexplode(F.slice("by", 1, k)).alias("at", "e"))
+    return best.select("case_id", "tag", F.when(F.col("y") == 1, "MISSED").otherwise("FALSE ALARM").alias("direction"),
+                       F.round(F.col("p") * 100, 1).alias("conf_pct"), (F.col("at") + 1).cast("bigint").alias("rank"),
+                       F.col("e.term").alias("term"), (F.col("e.v") / F.col("total") * 100).alias("share_pct"))
 
 
 def mismatch_token_freq(tokens: DataFrame, k: int = 20) -> DataFrame:

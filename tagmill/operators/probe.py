@@ -144,12 +144,29 @@ class NaiveBayesProbe:
         keep = [c for c in bags.columns if c != "bag"]
         return scored.withColumn("cells", F.transform(string_array(self.vocab), cell)).select(*keep, "cells")
 
-    def term_weights(self) -> DataFrame:
-        """(fold, term, idx, weight) for the pairs that occur, in full."""
-        base = F.filter("gains", lambda e: e["idx"] == TERM)[0]["g"]
-        pairs = self.weights.withColumn("base", base).select("fold", "term", "base", F.inline("gains"))
-        return pairs.filter(F.col("idx") > TERM).join(F.broadcast(self.bias), ["fold", "idx"]).select(
-            "fold", "term", "idx", (F.col("bias") + F.col("base") + F.col("g")).alias("weight"))
+    def evidence(self, rows: DataFrame) -> DataFrame:
+        """One row per case: ``terms array<struct<term, w, base, met>>`` and the fold's ``biases``.
+
+        ``rows`` is (case_id, fold, wanted array<tag index>, bag array<struct<term, w>>). The weight of a (tag, term)
+        pair is bias[tag] + base + gain, where only pairs that met have a gain; ``met`` holds
+        those of the wanted tags. So terms and tags are never multiplied out, and a pair
+        that never met is still given its weight.
+        """
+        spread = spread_by_case(rows).select("case_id", "fold", "wanted", F.inline("bag"))
+        parts = None
+        for weights in self._passes():
+            hit = spread.join(weights, ["fold", "term"])
+            met = F.filter("gains", lambda e: (e["idx"] == TERM) | F.array_contains("wanted", e["idx"]))
+            part = hit.select("case_id", "fold", "term", "w", met.alias("met"))
+            parts = part if parts is None else parts.unionByName(part)
+        whole = parts.groupBy("case_id", "fold", "term").agg(F.max("w").alias("w"), F.flatten(F.collect_list("met")).alias("met"))
+        base = F.get(F.filter("met", lambda e: e["idx"] == TERM), 0)["g"]
+        terms = whole.select("case_id", "fold", F.struct(
+            "term", "w", base.alias("base"), F.filter("met", lambda e: e["idx"] != TERM).alias("met")).alias("t"))
+        per_fold = self.bias.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("idx", "bias"))).alias("b"))
+        lookup = per_fold.agg(F.map_from_entries(F.collect_list(F.struct("fold", "b")))).scalar()
+        return terms.groupBy("case_id", "fold").agg(F.collect_list("t").alias("terms")).withColumn("_all", lookup).select(
+            "case_id", "terms", F.try_element_at("_all", F.col("fold")).alias("biases"))
 
 
 def ensemble_probabilities(probes: list[DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rand import pick, uniform
 from ..plans.bounded import small_side
-from ..plans.ranking import exact_rank, top_per_key
+from ..plans.ranking import counts_ahead, even_parts, exact_rank, top_per_key
 from ..plans.storage import stage
 from .labels import binarize_labels, tag_counts
 
@@ -29,6 +29,31 @@ def quota_sample(cases: DataFrame, quota: int = 20) -> DataFrame:
     return top_per_key(keyword_rows(cases), ["keyword"], order, quota, "case_id").select("case_id").distinct()
 
 
+def quota_walk(cases: DataFrame, quota: int = 20) -> DataFrame:
+    """``(case_id, keyword)``: the cases a walk over the keywords takes, and the one that took each.
+
+    Keywords go in ascending order; each takes up to ``quota`` of its cases that no earlier
+    keyword took, in an order drawn by hash. The walk is run in rounds by reservation: a
+    (keyword, case) pair is settled once it is certain. It takes the case if none of the
+    case's earlier keywords is open and fewer than ``quota`` pairs ahead of it can still be
+    free; it is dropped if an earlier keyword took the case or ``quota`` free ones stand
+    ahead for sure. The first open pair can always be settled, and after the first round a
+    frequent keyword has little more than ``quota`` pairs left, whatever share of the rows
+    it had. Null case ids and null keywords take no part; rows of one case_id are one case.
+    """
+    pairs = keyword_rows(cases).where("case_id is not null and keyword is not null").distinct()
+    rows = stage(pairs.select("case_id", "keyword", uniform("quota-walk", "keyword", "case_id").alias("u"),
+                              F.lit(False).alias("taken")), "quota-walk")
+    earlier = W.partitionBy("case_id").orderBy("keyword").rowsBetween(W.unboundedPreceding, -1)
+    while not rows.where("not taken").isEmpty():
+        seen = rows.withColumns({"free": F.count(F.lit(1)).over(earlier) == 0,
+                                 "gone": F.coalesce(F.bool_or("taken").over(earlier), F.lit(False))}).where("not gone")
+        counted = counts_ahead(seen, "keyword", ["u", "case_id"], F.floor(F.col("u") * 256), sure=F.col("free"), maybe=F.lit(1))
+        rows = stage(counted.where(F.col("taken") | (F.col("sure") < quota)).select(
+            "case_id", "keyword", "u", (F.col("taken") | (F.col("free") & (F.col("maybe") < quota))).alias("taken")), "quota-walk")
+    return rows.select("case_id", "keyword")
+
+
 def rare_keyword_weight(cases: DataFrame, counts: DataFrame) -> DataFrame:
     """Mean inverse keyword frequency per case; 1/n for a case without keywords."""
     n = cases.agg(F.count(F.lit(1))).scalar()
@@ -127,6 +152,40 @@ def shortlist_cap(labels: DataFrame, target_max: int) -> DataFrame:
         current = stage(current.join(drops, "case_id", "left_anti"), "shortlist")
 
 
+def cap_walk(labels: DataFrame, target_max: int, target_min: int = 0) -> DataFrame:
+    """The case ids a walk in ascending case_id drops to bring tags down to ``target_max``.
+
+    A case is dropped if at its turn all its tags are met more than ``target_max`` times and
+    stay at ``target_min`` without it. Run in rounds by reservation: with the drops known
+    ahead of a case and those still open, its tags' counts at its turn have bounds. It goes if
+    the lower ones leave all its tags over the limit, and stays if an upper one does not. The
+    first open case can always be settled, and each round settles as many as the bounds
+    allow (a chain of cases that hang on each other takes as many rounds as its length).
+    Rows without case_id or tag take no part; repeated labels count once.
+    """
+    limit = max(target_max, target_min)
+    labels = stage(labels.where("case_id is not null and tag is not null").select("case_id", "tag").distinct(), "cap-labels")
+    excess = tag_counts(labels).select("tag", (F.col("cnt") - limit).alias("excess"))
+    case = W.partitionBy("case_id")
+    rows = labels.join(small_side(excess), "tag").withColumn("least", F.min("excess").over(case)).where("least > 0")
+    rows = stage(rows.select("case_id", "tag", "excess", F.lit(False).alias("gone")), "cap-walk")
+    part = even_parts(rows, "case_id")
+    while not rows.where("not gone").isEmpty():
+        counted = counts_ahead(rows, "tag", ["case_id"], part, dropped=F.col("gone"), open=~F.col("gone"))
+        high = F.col("excess") - F.col("dropped")
+        bounds = counted.withColumns({"high": F.min(high).over(case), "low": F.min(high - F.col("open")).over(case)})
+        rows = stage(bounds.where(F.col("gone") | (F.col("high") > 0)).select(
+            "case_id", "tag", "excess", (F.col("gone") | (F.col("low") > 0)).alias("gone")), "cap-walk")
+    return rows.select("case_id").distinct()
+
+
+def shortlist_balanced(labels: DataFrame, target_min: int, target_max: int) -> DataFrame:
+    """The labels of the cases that both passes of the shortlist leave: cover, then cap."""
+    labels = stage(labels, "shortlist")
+    chosen = stage(labels.join(shortlist_min(labels, target_min), "case_id", "left_semi"), "shortlist")
+    return chosen.join(cap_walk(chosen, target_max, target_min), "case_id", "left_anti")
+
+
 def shortlist_coverage(labels: DataFrame, target_min: int) -> DataFrame:
     """Fewest, most and mean cases per tag, and the tags under the target."""
     return tag_counts(labels).agg(

@@ -53,3 +53,32 @@ def exact_rank(df: DataFrame, key: str, uniform: Column, tie: str, name: str,
         .withColumn(name, F.col("_in") + F.col("_shift"))
         .drop("_u", "_slice", "_in", "_shift")
     )
+
+
+def counts_ahead(df: DataFrame, key: str, order: list[str], part: Column, **flags: Column) -> DataFrame:
+    """Per row, how many earlier rows of its key hold each flag.
+
+    ``part`` grows with ``order`` and cuts a key into pieces (``even_parts`` for a column of
+    any distribution). Rows are counted inside (key, part) and shifted by the key's earlier
+    parts, so no task sorts a whole key.
+    """
+    cut = df.withColumns({"_part": part, **{f"_{name}": flag.cast("bigint") for name, flag in flags.items()}})
+    earlier = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut.groupBy(key, "_part").agg(*[F.sum(f"_{name}").alias(f"_{name}") for name in flags])
+    shifts = sums.select(key, "_part", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_shift_{name}") for name in flags])
+    inside = W.partitionBy(key, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    counted = cut.withColumns({name: F.coalesce(F.sum(f"_{name}").over(inside), F.lit(0)) for name in flags}).join(shifts, [key, "_part"])
+    return counted.withColumns({name: F.col(name) + F.col(f"_shift_{name}") for name in flags}).drop(
+        "_part", *[f"_{name}" for name in flags], *[f"_shift_{name}" for name in flags])
+
+
+def even_parts(df: DataFrame, column: str, parts: int = 256) -> Column:
+    """A part number that grows with a numeric column and holds about as many rows as any other."""
+    cuts = sorted(set(df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    fine = max(1, round(len(cuts) ** 0.5))
+    whole, heads = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[::fine]))
+    if not cuts:
+        return F.lit(0)
+    value = F.col(column).cast("double")
+    at = F.greatest(F.size(F.filter(heads, lambda c: c <= value)) - 1, F.lit(0)) * fine
+    return at + F.size(F.filter(F.slice(whole, at + 1, fine), lambda c: c <= value))

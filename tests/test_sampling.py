@@ -95,3 +95,73 @@ def test_resample_any_unit(spark, unit):
     assert sum(r["copies"] for r in drawn) == 20_000 and all(r["case_id"] is not None for r in drawn)
     light = sum(r["copies"] for r in drawn if r["case_id"] % 2)
     assert abs(light / 20_000 - 0.3) < 0.02
+
+
+def _walked(rows, quota, order):
+    """The plain walk: keywords in order, each takes what is fresh."""
+    taken, by_keyword = {}, {}
+    for case, keywords in rows:
+        for k in set(keywords or []):
+            by_keyword.setdefault(k, []).append(case)
+    for k in sorted(by_keyword):
+        fresh = sorted((c for c in by_keyword[k] if c not in taken), key=lambda c: (order[k, c], c))
+        taken.update((c, k) for c in fresh[:quota])
+    return taken
+
+
+@pytest.mark.parametrize("seed,quota", [(1, 3), (2, 20), (3, 7)])
+def test_quota_walk_is_the_sequential_walk(spark, seed, quota):
+    rng = random.Random(seed)
+    names = ["all"] + [f"k{i:02}" for i in range(25)]
+    rows = [(i, [k for k in names if rng.random() < (0.5 if k in ("all", "k03") else 0.08)]) for i in range(400)]
+    cases = spark.createDataFrame(rows, "case_id long, keywords array<string>")
+    order = {(r["keyword"], r["case_id"]): r["u"] for r in S.keyword_rows(cases).select(
+        "case_id", "keyword", uniform("quota-walk", "keyword", "case_id").alias("u")).collect()}
+    got = {r["case_id"]: r["keyword"] for r in S.quota_walk(cases, quota).collect()}
+    assert got == _walked(rows, quota, order)
+
+
+def test_quota_walk_edges(spark):
+    schema = "case_id long, keywords array<string>, keyword string"
+    assert S.quota_walk(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, ["a", None, "a"], "x"), (1, ["b"], "x"), (None, ["a"], "x"), (2, None, "x"), (3, [], "x")]
+    got = S.quota_walk(spark.createDataFrame(rows, schema), 1).collect()
+    assert [(r["case_id"], r["keyword"]) for r in got] == [(1, "a")]
+
+
+def _capped(tags, most, least):
+    covered, gone = Counter(t for ts in tags.values() for t in set(ts)), set()
+    for c in sorted(tags):
+        own = set(tags[c])
+        if own and all(covered[t] > most for t in own) and all(covered[t] - 1 >= least for t in own):
+            gone.add(c)
+            covered.subtract(own)
+    return gone
+
+
+@pytest.mark.parametrize("seed,most,least", [(1, 20, 18), (2, 40, 40), (3, 15, 30), (4, 5, 0), (5, 60, 20)])
+def test_cap_walk_is_the_sequential_walk(spark, seed, most, least):
+    cases, tags = _labels(spark, seed, n=500)
+    got = {r[0] for r in S.cap_walk(L.binarize_labels(cases), most, least).collect()}
+    assert got == _capped(tags, most, least)
+
+
+def test_balanced_shortlist_is_both_walks(spark):
+    cases, tags = _labels(spark, 9)
+    counts = Counter(t for ts in tags.values() for t in ts)
+    score = {c: sum(sorted(1 / counts[t] for t in ts)) for c, ts in tags.items()}
+    covered, chosen = Counter(), {}
+    for c in sorted(tags, key=lambda c: (-score[c], c)):
+        if any(covered[t] < 20 for t in tags[c]):
+            chosen[c] = tags[c]
+            covered.update(tags[c])
+    want = set(chosen) - _capped(chosen, 20, 20)
+    got = {r["case_id"] for r in S.shortlist_balanced(L.binarize_labels(cases), 20, 20).collect()}
+    assert got == want
+
+
+def test_cap_walk_edges(spark):
+    schema = "case_id long, tag string, excess int"
+    assert S.cap_walk(spark.createDataFrame([], schema), 1).count() == 0
+    rows = [(1, "a", 0), (1, "a", 0), (2, "a", 0), (None, "a", 0), (3, None, 0), (3, "a", 0)]
+    assert [r[0] for r in S.cap_walk(spark.createDataFrame(rows, schema), 2).collect()] == [1]
