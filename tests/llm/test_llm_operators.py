@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -307,7 +308,8 @@ def test_near_vectors_against_brute_force(spark):
 
 
 def test_search_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(search, "_CHECK", 40)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 1)
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 300)
     monkeypatch.setattr(search, "BLOCK_DOCS", 4)
     rng = random.Random(7)
     texts = [(i, " ".join(rng.choice(["the", "of"] + [f"r{rng.randrange(60)}"]) for _ in range(rng.randrange(40)))) for i in range(120)] + [(200, None)]
@@ -424,3 +426,43 @@ def test_query_matches_sql(spark, folder, name):
     import check
     got = queries.QUERIES[name](spark, folder).toArrow()
     assert check.compare(got, check.connect(folder).execute(queries.ORACLES[name]).to_arrow_table()).startswith("ok")
+
+
+def _opened(bags):
+    """A shard over the given bags of (word number -> frequency)."""
+    docs = np.arange(len(bags), dtype=np.int64)
+    lengths = np.array([sum(b.values()) for b in bags], np.int64)
+    triples = sorted((t, d, f) for d, b in enumerate(bags) for t, f in b.items())
+    keys, sizes = np.unique([t for t, _, _ in triples], return_counts=True)
+    parts = [docs.tobytes(), lengths.tobytes(), keys.astype(np.int64).tobytes(), search._narrow(sizes),
+             search._narrow(np.array([d for _, d, _ in triples])), search._narrow(np.array([f for _, _, f in triples]))]
+    return search.Shard(float(lengths.mean()), *(pa.py_buffer(p) for p in parts)), float(lengths.mean())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pruned_shard_is_exhaustive_scoring(seed):
+    rng = np.random.default_rng(seed)
+    bags = [{int(t): int(rng.integers(1, 300 if t == 3 else 9)) for t in np.unique(rng.zipf(1.4, rng.integers(1, 30)) % 500)} for _ in range(3000)]
+    shard, mean = _opened(bags)
+    for _ in range(20):
+        keys = np.unique(rng.integers(0, 520, rng.integers(1, 12)))
+        weights = rng.random(len(keys)) * 8 + 0.01
+        scores = []
+        for d, b in enumerate(bags):
+            norm = 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)
+            s = sum(w * b[t] * 2.2 / (b[t] + norm) for t, w in zip(keys.tolist(), weights.tolist()) if t in b)
+            if s:
+                scores.append((-round(s, 6), d))
+        docs, got = shard.top(keys, weights, 10)
+        assert [(-g, d) for g, d in zip(got.round(6).tolist(), docs.tolist())] == sorted(scores)[:10]
+
+
+def test_blocks_that_cannot_reach_the_threshold_are_skipped(monkeypatch):
+    bags = [{1: 1, 2: 1, 3: 1} if d < 64 else {1: 1, d + 10: 5} for d in range(6400)]
+    shard, _ = _opened(bags)
+    met = []
+    plain = search.Shard._add
+    monkeypatch.setattr(search.Shard, "_add", lambda self, score, cells, weights, wanted: (
+        met.append(int(self.count[cells[wanted]].sum())), plain(self, score, cells, weights, wanted))[1])
+    docs, _ = shard.top(np.array([1, 2, 3]), np.array([0.1, 6.0, 6.0]), 10)
+    assert docs.tolist() == list(range(10)) and sum(met) < 640
