@@ -131,13 +131,17 @@ def _signer(words: int):
 
 def _linked(rows: DataFrame, classes: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """``(id, component)`` of the classes that link with another one."""
-    rows_of = classes.select("rep", "n", F.explode("bands").alias("band"))
+    # Most bands are met once. Only the band and its count are shuffled to tell, and what
+    # names a group's members is worked out for the bands that are left.
+    rows_of = classes.select("rep", F.explode("bands").alias("band"))
+    repeated = rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    met = stage(rows_of.join(small_side(repeated), "band"), "met")
     print_of = F.xxhash64("rep")
-    groups = (rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(print_of.cast("decimal(38,0)")).alias("s"),
-                                          F.bit_xor(print_of).alias("x")).where("m > 1"))
+    groups = met.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(print_of.cast("decimal(38,0)")).alias("s"),
+                                     F.bit_xor(print_of).alias("x"))
     # Bands that gather the same documents are one group.
     groups = groups.groupBy("m", "s", "x").agg(F.min("band").alias("band")).select("band")
-    members = stage(rows_of.join(small_side(groups), "band"), "members")
+    members = stage(met.join(small_side(groups), "band").join(classes.select("rep", "n"), "rep"), "members")
     # Texts move only if the documents in question are too many to send their ids instead.
     wanted = small_side(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = stage(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_setter(words), "doc_id long, items binary"), "sets")
