@@ -5,7 +5,9 @@ Each source's words form one stream in document order, cut into blocks of ``bloc
 ``shard`` slots. Every shard draws how many of its slots each source fills: a multinomial
 draw conditional on the sources' totals (a multivariate hypergeometric one), taken by
 splitting the shards in halves down to the single shard, so any shard can be drawn on its
-own and the totals still come out exactly. A source's slots are numbered through all
+own and the totals still come out exactly. Slots are dealt in runs of about ``RUN``: every
+run takes its even part of each source, within a slot, and the shards of a run are drawn
+from that, so that all draws stay in the range of the exact generator. A source's slots are numbered through all
 shards; slot j takes block perm_e(j mod B) of the source's B blocks, where perm_e is the
 pseudorandom permutation of pass e = j div B. So every block is used once before any is
 used twice. The last slot of a source takes only the words still due. Slots and the
@@ -32,7 +34,8 @@ SEED = 7
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Sources are planned on the driver; more than this many raise an error.
 MAX_SOURCES = 100_000
-_EXACT = 400_000_000
+#: Slots of a run; the generator is exact below 10^9.
+RUN = 1 << 28
 
 
 def word_count(text: Column) -> Column:
@@ -63,7 +66,7 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
-                block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+                block: int = BLOCK, shard: int = SHARD, seed: int = SEED, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """Two tables for ``docs(doc_id, text, source)``.
 
     *plan*, a row per document: ``doc_id, source, size, source_size, target, taken``.
@@ -77,12 +80,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     their texts count as repeats of it, each a row with its own size. A row without doc_id
     mixes like any other but has no pieces to join back to. An empty table gives empty tables.
     """
-    plan, pieces = _mix(docs, F.monotonically_increasing_id(), weights, share, most, block, shard, seed)
+    plan, pieces = _mix(docs, F.monotonically_increasing_id(), weights, share, most, block, shard, seed, run)
     return plan, pieces.select("doc_id", "shard", "slot", "source", "block", "use", "start", "stop")
 
 
 def _mix(docs: DataFrame, key: Column, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
-         block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+         block: int = BLOCK, shard: int = SHARD, seed: int = SEED, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """``mix_sources`` with a key of each row, which the pieces carry as ``key``."""
     rows = docs.select(key.cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"),
@@ -104,7 +107,7 @@ def _mix(docs: DataFrame, key: Column, weights: tuple[float, ...] = WEIGHTS, sha
         "name string, s int, source_size long, target double")
     known = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = stage(_placed(known), "placed")
-    pieces = _used(placed.where("size > 0"), blocks, slots, cuts, block, shard, seed)
+    pieces = _used(placed.where("size > 0"), blocks, slots, cuts, block, shard, seed, run)
     taken = pieces.groupBy("key").agg(F.sum("words").alias("taken"))
     plan = placed.join(taken, "key", "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -144,12 +147,13 @@ def _placed(known: DataFrame) -> DataFrame:
             .select("key", "doc_id", "source", "s", "size", "source_size", "target", (F.col("in") + F.col("shift")).alias("first")))
 
 
-def _used(placed: DataFrame, blocks: list[int], slots: list[int], cuts: list[int], block: int, shard: int, seed: int) -> DataFrame:
+def _used(placed: DataFrame, blocks: list[int], slots: list[int], cuts: list[int], block: int, shard: int, seed: int,
+          run: int) -> DataFrame:
     """The pieces of blocks that the mix takes, a row per use."""
     spark = placed.sparkSession
-    shards = -(-sum(slots) // shard)
-    drawn = spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4, 10_000))).mapInArrow(
-        _drawer(blocks, slots, cuts, block, shard, shards, seed), "s int, block long, shard long, slot long, use int, length long")
+    runs, shards = plan_runs(sum(slots), len(slots), shard, run)
+    drawn = spark.range(0, runs * shards, 1, max(1, min(runs * shards, spark.sparkContext.defaultParallelism * 4, 10_000))).mapInArrow(
+        _drawer(blocks, slots, cuts, block, shard, runs, shards, seed), "s int, block long, shard long, slot long, use int, length long")
     last = F.floor((F.col("first") + F.col("size") - 1) / block)
     spans = placed.select("doc_id", "key", "source", "s", "first", "size", F.explode(
         F.sequence(F.floor(F.col("first") / block), last)).alias("block"))
@@ -159,34 +163,37 @@ def _used(placed: DataFrame, blocks: list[int], slots: list[int], cuts: list[int
             .withColumn("stop", stop).where("stop > start").withColumn("words", F.col("stop") - F.col("start")))
 
 
-def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of ``take`` slots drawn without replacement fall on each source.
+def plan_runs(total: int, sources: int, shard: int, run: int = RUN) -> tuple[int, int]:
+    """(runs, shards of a run) for ``total`` slots; a run has a slot a source beyond its even part at most."""
+    runs = max(1, -(-total // run))
+    return runs, -(-(total if runs == 1 else -(-total // runs) + sources) // shard)
 
-    Beyond the range of the exact generator the draw is a rounded normal one of the same
-    mean and variance.
-    """
+
+def split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``take`` slots drawn without replacement fall on each source."""
     out, rest = np.zeros_like(counts), int(counts.sum())
+    take = min(take, rest)
     for i, n in enumerate(counts.tolist()):
         rest -= n
         if not take:
             break
-        if n + rest < _EXACT:
-            got = int(rng.hypergeometric(n, rest, take)) if n else 0
-        else:
-            p = n / (n + rest)
-            spread = (take * p * (1 - p) * (n + rest - take) / max(n + rest - 1, 1)) ** 0.5
-            got = round(rng.normal(take * p, spread))
-        out[i] = got = min(max(got, take - rest, 0), n, take)
+        out[i] = got = int(rng.hypergeometric(n, rest, take)) if n and rest else min(n, take)
         take -= got
     return out
 
 
-def draws(slots: list[int], shard: int, shards: int, number: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first slot of each source in the shard, slots of each source in the shard)."""
-    counts, first, lo, hi = np.array(slots, np.int64), np.zeros(len(slots), np.int64), 0, shards
+def draws(slots: list[int], shard: int, shards: int, number: int, seed: int, runs: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot of each source in the shard, slots of each source in the shard).
+
+    Run r of ``runs``, of ``shards`` shards each, has the slots from n * r // runs up to
+    n * (r + 1) // runs of a source with n.
+    """
+    turn, number = divmod(number, shards)
+    first = np.array([n * turn // runs for n in slots], np.int64)
+    counts, lo, hi = np.array([n * (turn + 1) // runs for n in slots], np.int64) - first, 0, shards
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        state = blake2b(f"{seed}:{lo}:{hi}".encode(), digest_size=8).digest()
+        state = blake2b(f"{seed}:{turn * shards + lo}:{turn * shards + hi}".encode(), digest_size=8).digest()
         left = split(counts, (mid - lo) * shard, np.random.default_rng(int.from_bytes(state, "big")))
         if number < mid:
             counts, hi = left, mid
@@ -231,11 +238,11 @@ def _pass_key(seed: int, s: int, use: int) -> int:
     return int.from_bytes(blake2b(f"{seed}:{s}:{use}".encode(), digest_size=7).digest(), "big")
 
 
-def _drawer(blocks: list[int], slots: list[int], cuts: list[int], length: int, shard: int, shards: int, seed: int):
+def _drawer(blocks: list[int], slots: list[int], cuts: list[int], length: int, shard: int, runs: int, shards: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column(0).to_pylist():
-                first, counts = draws(slots, shard, shards, number, seed)
+                first, counts = draws(slots, shard, shards, number, seed, runs)
                 total = int(counts.sum())
                 # The order of the slots inside a shard is a permutation too.
                 order = permuted(np.arange(total), total, seed * 1_000_003 + number) if total else np.empty(0, np.int64)
@@ -264,12 +271,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     are set apart by a line break. Documents of which nothing is taken are left out. Each
     row is a document of its own, with or without a doc_id and also where others have the
     same one: rows get a key, written with them, by which their pieces come back to them.
-    ``n_chars``, where there is such a column, is counted anew.
+    ``n_chars``, where there is such a column, is counted anew. Columns may have any names:
+    the key and the pieces get names that the table does not have.
     """
-    keyed = stage(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    _, pieces = _mix(keyed, F.col("_key"), **options)
-    spans = pieces.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("use", "start", "stop"))).alias("_spans"))
-    joined = keyed.join(spans, "_key")
+    names = {c.lower() for c in docs.columns}
+    own_key, own_spans = (next(n for n in (base + "_" * i for i in range(len(names) + 1)) if n not in names) for base in ("_key", "_spans"))
+    keyed = stage(docs.withColumn(own_key, F.monotonically_increasing_id()), "keyed")
+    _, pieces = _mix(keyed, F.col(own_key), **options)
+    spans = pieces.groupBy(F.col("key").alias(own_key)).agg(
+        F.sort_array(F.collect_list(F.struct("use", "start", "stop"))).alias(own_spans))
+    joined = keyed.join(spans, own_key)
     kept = [f for f in docs.schema.fields]
 
     def cut(text: str, spans: list[dict]) -> str:
@@ -285,7 +296,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut(t or "", s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())]
+            texts = [cut(t or "", s) for t, s in zip(batch.column("text").to_pylist(), batch.column(own_spans).to_pylist())]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays(
                 [new[f.name].cast(batch.column(f.name).type) if f.name in new else batch.column(f.name) for f in kept],
