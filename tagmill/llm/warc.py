@@ -6,17 +6,20 @@ is), a payload digest in both has to be equal, and where neither is in both, an
 Last-Modified will do. A resolved revisit gets the response's headers, updated by those of
 its own that a 304 answer may change, and points to the response that holds the payload.
 
-The as-of step carries record numbers and validators only. Time is cut into slices; inside
+The as-of step carries record numbers and validators only. Time is cut into slices at
+quantiles of the captures' times, so a record dated 1970 or 9999 moves no cut; inside
 (URL, slice) a window finds the latest response, and where there is none the latest one of
 an earlier slice is taken from a table of one row per (URL, slice). So a URL with a third
-of all captures is spread over its slices.
+of all captures is spread over its slices; captures of one microsecond stay together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SLICES = 4096
+from ..plans.ranking import even_parts
+
+SLICES = 256
 #: Header fields that a not-modified answer may update (RFC 9110, 15.4.5; RFC 9111, 3.2).
 UPDATED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "warning")
 
@@ -59,9 +62,10 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     ``headers``. "Earlier" is by (at, record_id), so ties in time go by number. Records
     without url, time or number are no candidates; a revisit without url or time is
     ``missing``. Null headers count as none. Repeated rows of a response are one; each
-    repeated revisit is answered. Other columns are not returned.
+    repeated revisit is answered, and different revisits that share a number get each other's
+    answers too, a row per answer. Other columns are not returned, whatever their names; an
+    empty table gives an empty one.
     """
-    spark = records.sparkSession
     kind = (F.when((F.col("kind") == "response") & (F.col("status") == 200) & F.col("digest").isNotNull(), F.lit(1))
             .when(F.col("kind") == "revisit", F.lit(2)))
     none = F.lit([]).cast("array<struct<name:string,value:string>>")
@@ -71,9 +75,8 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     etag = F.regexp_replace(header(F.col("headers"), "etag"), "^W/", "")
     slim = rows.select("record_id", "k", "url", "at", etag.alias("etag"), header(F.col("headers"), "last-modified").alias("modified"), "digest",
                        F.unix_micros("at").alias("us"))
-    ends = slim.agg(F.min("us"), F.max("us")).first()
-    low, width = ends[0] or 0, max(((ends[1] or 0) - (ends[0] or 0)) // slices + 1, 1)
-    placed = slim.where("url is not null and at is not null and record_id is not null").withColumn("slice", F.floor((F.col("us") - low) / width))
+    dated = slim.where("url is not null and at is not null and record_id is not null")
+    placed = dated.withColumn("slice", even_parts(dated, "us", slices))
     full = F.when(F.col("k") == 1, F.struct("us", "record_id", "etag", "modified", "digest"))
     last = placed.groupBy("url", "slice").agg(F.max(full).alias("last"))
     before = W.partitionBy("url").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
