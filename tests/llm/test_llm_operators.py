@@ -466,3 +466,52 @@ def test_blocks_that_cannot_reach_the_threshold_are_skipped(monkeypatch):
         met.append(int(self.count[cells[wanted]].sum())), plain(self, score, cells, weights, wanted))[1])
     docs, _ = shard.top(np.array([1, 2, 3]), np.array([0.1, 6.0, 6.0]), 10)
     assert docs.tolist() == list(range(10)) and sum(met) < 640
+
+
+def test_runs_of_slots_are_dealt_whole():
+    rng = random.Random(11)
+    slots = [rng.randrange(3000) for _ in range(7)] + [0, 1]
+    for run, shard in ((1 << 28, 64), (2000, 64), (500, 128)):
+        runs, shards = mixing.plan_runs(sum(slots), len(slots), shard, run)
+        at = np.zeros(len(slots), np.int64)
+        for number in range(runs * shards):
+            first, counts = mixing.draws(slots, shard, shards, number, 7, runs)
+            assert first.tolist() == at.tolist() and counts.min() >= 0 and counts.sum() <= shard
+            at += counts
+        assert at.tolist() == slots
+    # Sizes of 100 TB: draws stay in the range of the generator, shards are full but for the last of a run.
+    huge = [90_000_000_000, 60_000_000_000, 13]
+    runs, shards = mixing.plan_runs(sum(huge), 3, mixing.SHARD)
+    for number in (0, shards * (runs // 2) + 5, shards * (runs - 1)):
+        counts = mixing.draws(huge, mixing.SHARD, shards, number, 7, runs)[1]
+        assert counts.sum() == mixing.SHARD and abs(counts[0] - .6 * mixing.SHARD) < 200
+
+
+def test_mixing_in_short_runs_and_with_reserved_names(spark):
+    docs = table(spark, [(i, " ".join(f"d{i}w{j}" for j in range(37 * i % 400))) for i in range(60)])
+    whole, runs = (mixing.mix_sources(docs, block=16, shard=8, run=run) for run in (mixing.RUN, 100))
+    assert sorted(map(str, whole[0].collect())) == sorted(map(str, runs[0].collect()))
+    assert runs[1].groupBy("shard", "slot").agg(F.countDistinct("source", "block", "use").alias("n")).where("n > 1").count() == 0
+    named = docs.withColumns({"_key": F.col("doc_id") + 77, "_spans": F.lit("s"), "key": F.lit(1), "s": F.lit(2)})
+    got = mixing.mixed_documents(named, block=16)
+    assert got.columns == named.columns
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs, block=16).collect()}
+    assert got.where("_key != doc_id + 77 or _spans != 's' or key != 1 or s != 2").count() == 0
+
+
+def test_revisits_of_a_hot_url_beside_odd_dates(spark):
+    rng = random.Random(4)
+    log = [(1, "response", "a.com/hot", "1970-01-01 00:00:00", "x"), (2, "revisit", "a.com/hot", "9999-12-31 00:00:00", None)]
+    for i in range(3, 1500):
+        url = "a.com/hot" if rng.random() < .6 else f"a.com/{rng.randrange(40)}"
+        kind = "response" if rng.random() < .5 else "revisit"
+        log.append((i, kind, url, f"2024-03-{rng.randrange(1, 29):02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", f"d{rng.randrange(2)}"))
+    frame = spark.createDataFrame(log, "record_id long, kind string, url string, at string, digest string").withColumns(
+        {"status": F.lit(200), "headers": F.lit(None).cast("array<struct<name:string,value:string>>"), "slice": F.lit(5), "_part": F.lit(6)})
+    expected = {}
+    for i, kind, url, at, digest in log:
+        if kind == "revisit":
+            before = [r for r in log if r[1] == "response" and r[2] == url and (r[3], r[0]) < (at, i)]
+            expected[i] = max(before, key=lambda r: (r[3], r[0]))[0] if before else None
+    for slices in (4, warc.SLICES):
+        assert {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(frame, slices=slices).collect()} == expected
