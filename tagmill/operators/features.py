@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import terms, tokens
+from .frequent import frequent_terms
 
 MAX_TERMS = 15_000
 
@@ -19,15 +20,9 @@ def spread_by_case(cases: DataFrame) -> DataFrame:
 def vocab_top_terms(docs: DataFrame, k: int = MAX_TERMS, min_df: int = 1) -> DataFrame:
     """The k terms with the highest total count, with total count and document count.
 
-    ``docs`` has (case_id, terms). Occurrences and first occurrences are counted in one
-    pass; only per-partition sums per term are shuffled.
+    ``docs`` has (case_id, terms). Bounded summaries of the tasks are shuffled, not every term.
     """
-    seen = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
-    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
-    rows = docs.select(F.inline_outer(F.concat(seen, once))).filter(F.col("term").isNotNull())
-    counted = rows.groupBy("term").agg(
-        F.sum(1 - F.col("first")).alias("tf"), F.sum(F.col("first").cast("bigint")).alias("df"))
-    return counted.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(k)
+    return frequent_terms(docs, k, min_df)
 
 
 def with_terms(cases: DataFrame, text: Column, bigrams: bool = True) -> DataFrame:
