@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import review as R
+from ..operators import case_buckets as B, review as R
+from ..plans.storage import fresh_path
 from . import inputs as I
 from .registry import query
 from .sql import cte, sql
@@ -104,3 +105,15 @@ def feedback_report_query(spark, folder):
     cases = I.cases(spark, folder)
     merged = R.apply_feedback(cases.select("case_id", "service", "tags"), corrections(cases))
     return R.feedback_report(merged)
+
+
+@query("feedback_buckets", sql("SELECT case_id, service, tags FROM fed_back"))
+def feedback_buckets_query(spark, folder):
+    """Two batches of corrections, the later one merged first, into cases kept in buckets."""
+    cases = I.cases(spark, folder)
+    path = fresh_path(spark, "case-buckets")
+    B.write_buckets(cases.select("case_id", "service", "tags"), path, buckets=32)
+    every = corrections(cases)
+    for seq in (2, 1):
+        B.merge_batch(spark, path, every.where(F.col("seq") == seq))
+    return B.read_cases(spark, path).withColumn("tags", F.array_join("tags", "|"))

@@ -64,6 +64,12 @@ def review_export(judged: DataFrame, n: int) -> DataFrame:
             .drop("_rn", "_set").withColumn("human_corrected_tags", F.lit("")))
 
 
+def parsed_tags(column: str) -> Column:
+    """The tags of a comma-separated list, trimmed, without blanks."""
+    parts = F.transform(F.split(F.coalesce(column, F.lit("")), ","), lambda t: F.trim(t))
+    return F.filter(parts, lambda t: F.length(t) > 0)
+
+
 def usable_corrections(corrections: DataFrame) -> DataFrame:
     """Filled-in corrections as tag arrays; the last one per case wins."""
     filled = corrections.filter(F.length(F.trim(F.coalesce("human_corrected_tags", F.lit("")))) > 0)
