@@ -36,3 +36,15 @@ def test_odd_cells_are_judged_as_by_the_plain_expressions(spark):
         total_entropy(F.col("p"))).collect()]
     near = -(1e-9 * math.log(1e-9) + (1 - 1e-9) * math.log(1 - 1e-9))
     assert abs(sums[0] - math.log(2) - near) < 1e-12 and sums[1:4] == [None, None, 0.0] and abs(sums[4] - near) < 1e-12
+
+
+def test_thresholds_are_attached_without_moving_cells(spark):
+    info = spark.createDataFrame([("a", 0.3, "rare")], "tag string, threshold double, category string")
+    rows = [(1, [("a", 1, 0.5)]), (1, [("b", 1, 0.4)]), (2, [("b", 0, 0.1)]), (None, [("a", 0, 0.2)]), (None, [("a", 0, 0.9)])]
+    preds = spark.createDataFrame(rows, CELLS)
+    merged = E.merged_cases(preds)
+    out = {r["case_id"]: sorted((c["tag"], c["p"], c["threshold"], c["category"]) for c in r["cells"]) for r in E.attach_thresholds(merged, info).collect()}
+    assert out == {1: [("a", 0.5, 0.3, "rare"), ("b", 0.4, 0.5, "normal")], 2: [("b", 0.1, 0.5, "normal")],
+                   None: [("a", 0.2, 0.3, "rare"), ("a", 0.9, 0.3, "rare")]}
+    long = plan(E.attach_thresholds(preds, info))
+    assert "Exchange" not in long and "Generate" not in long
