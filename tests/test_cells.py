@@ -48,3 +48,11 @@ def test_thresholds_are_attached_without_moving_cells(spark):
                    None: [("a", 0.2, 0.3, "rare"), ("a", 0.9, 0.3, "rare")]}
     long = plan(E.attach_thresholds(preds, info))
     assert "Exchange" not in long and "Generate" not in long
+
+
+def test_review_sets_are_ranked_before_they_are_judged(spark):
+    rows = [(i, [("a", 0, i / 200), ("b", 1, 0.1)]) for i in range(200)]
+    preds = spark.createDataFrame(rows, CELLS)
+    assert sorted(r["case_id"] for r in R.most_confident(preds, 3).collect()) == [197, 198, 199]
+    assert sorted(r["case_id"] for r in R.most_uncertain(preds, 3).collect()) == [99, 100, 101]
+    assert "Python" not in plan(R.most_confident(preds, 3)) and R.most_confident(preds, 3).columns == preds.columns
