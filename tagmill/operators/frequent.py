@@ -22,6 +22,8 @@ from ..plans.bounded import small_side
 from ..plans.storage import stage
 
 CAPACITY = 1 << 19
+#: Rows whose terms are counted at a time; a batch of Spark's may hold far more.
+ROWS = 512
 #: Summaries at most, as many times the cores of the cluster: they are what is shuffled.
 TASKS_PER_CORE = 4
 
@@ -42,8 +44,7 @@ def _summarizer(capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, error = 0, [], 0
-        for batch in batches:
-            lists = batch.column(0)
+        for lists in (b.column(0).slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             rows = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
             by_row = rows.filter(pc.is_valid(rows["term"])).group_by(["row", "term"]).aggregate([([], "count_all")])
             counts = by_row.group_by("term").aggregate([("count_all", "sum"), ([], "count_all")])
@@ -57,6 +58,7 @@ def _summarizer(capacity: int):
                     error += cut
                     whole = whole.set_column(1, "tf", pc.subtract(whole["tf"], cut)).filter(pc.greater(whole["tf"], cut))
                 parts, held = [whole], len(whole)
+                pa.default_memory_pool().release_unused()
         if parts:
             yield from merged(parts).combine_chunks().to_batches()
         yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.string()), "tf": pa.array([error], pa.int64()), "df": pa.array([0], pa.int64())})

@@ -1,6 +1,9 @@
 """The most frequent terms from summaries, against plain counting."""
 
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -71,3 +74,20 @@ def test_more_candidates_than_may_be_sent_are_counted_by_a_shuffle(spark, monkey
         assert got(corpus(spark, rows), 8, 1, 200) == plain(rows, 8)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_large_batch_is_counted_in_small_parts():
+    script = """
+import pyarrow as pa
+from tagmill.operators import frequent
+n, wide = 20_000, 100
+terms = pa.array([f"t{i}" for i in range(1000)]).take(pa.array([i % 1000 for i in range(n * wide)]))
+batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(range(0, n * wide + 1, wide), pa.int32()), terms)], ["terms"])
+pool = pa.default_memory_pool()
+held, before = pool.bytes_allocated(), pool.max_memory()
+out = [r for b in frequent._summarizer(1 << 12)(iter([batch])) for r in b.to_pylist()]
+assert {r["tf"] for r in out if r["term"]} == {n * wide // 1000} and len(out) == 1001, out[:3]
+print((max(pool.max_memory(), before) - held) >> 20)
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert int(done.stdout) < 40
