@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.cells import synthetic_cells, total_entropy
 from tagmill.operators import evaluate as E, review as R
+from tagmill.sources import views
 
 CELLS = "case_id long, cells array<struct<tag string, y int, p double>>"
 
@@ -56,3 +57,10 @@ def test_review_sets_are_ranked_before_they_are_judged(spark):
     assert sorted(r["case_id"] for r in R.most_confident(preds, 3).collect()) == [197, 198, 199]
     assert sorted(r["case_id"] for r in R.most_uncertain(preds, 3).collect()) == [99, 100, 101]
     assert "Python" not in plan(R.most_confident(preds, 3)) and R.most_confident(preds, 3).columns == preds.columns
+
+
+def test_an_order_fills_two_sets(spark, folder):
+    cases = views.order_cases(spark, folder)
+    assert cases._jdf.queryExecution().analyzed().toString().count("collect_set(") == 2
+    r = cases.orderBy("case_id").first()
+    assert r["tags"] == sorted(set(r["tags"])) and None not in r["tags"] and r["keywords"] == sorted(set(r["keywords"]))
