@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..plans.bounded import small_side, string_array
 from ..plans.storage import stage
 from .labels import route_tags
+from .similarity import greatest_cosines
 
 NOISE_THRESHOLD = 0.3
 NOISY, VERY_NOISY = 0.7, 0.4
@@ -159,20 +160,42 @@ def smooth_labels(cells: DataFrame, base_smooth: float, noise: str = "noise") ->
     return cells.withColumn("target", F.col("y") * (1 - s) + s * 0.5)
 
 
-def similarity_fallback(labels: DataFrame, features: DataFrame, n_cases: int) -> DataFrame:
+def _bags(features: DataFrame) -> DataFrame:
+    """(case_id, terms, ws): the features of a case in one row."""
+    known = features.where("term is not null and w is not null")
+    bags = known.groupBy("case_id").agg(F.collect_list(F.struct("term", "w")).alias("bag"))
+    return stage(bags.select("case_id", F.col("bag.term").alias("terms"), F.col("bag.w").cast("array<double>").alias("ws")), "bags")
+
+
+def _positives(labels: DataFrame, bags: DataFrame) -> DataFrame:
+    """(case_id, tag, terms, ws); a label given twice counts twice."""
+    given = labels.where("tag is not null").groupBy("case_id", "tag").agg(F.count(F.lit(1)).alias("given"))
+    return given.join(bags, "case_id").select("case_id", "tag", "terms", F.transform("ws", lambda w: w * F.col("given")).alias("ws"))
+
+
+def _scaled(cells: DataFrame, spans: DataFrame, n_cases: int) -> DataFrame:
+    """Cells with ``p``: the similarity between the tag's least, 0 if a case has no shared term, and its greatest."""
+    spans = spans.where("n > 0").select("tag", F.when(F.col("n") < n_cases, 0.0).otherwise(F.col("lo")).alias("lo"), "hi")
+    return cells.join(small_side(spans), "tag").withColumn("p", (F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9))
+
+
+def similarity_fallback(labels: DataFrame, features: DataFrame, n_cases: int, asked: DataFrame | None = None) -> DataFrame:
     """(case_id, tag, similarity, p) for cells that share a term with a positive of the tag; all others have p 0.
 
     ``labels`` (case_id, tag) of the tags to score, ``features`` unit-length (case_id, term,
     w). The greatest cosine to any positive, itself included, scaled from the tag's least to
-    its greatest over all ``n_cases``. No cell is formed for a case without a shared term, and
+    its greatest over all ``n_cases``. With ``asked`` (case_id, tag) only those cells are
+    returned, scaled over all cases as well. No row is made for a pair of case and positive, and
     no list of tags is held. A tag whose positives have no terms is absent.
     """
-    known = labels.join(features, "case_id").select("tag", F.col("case_id").alias("pos_id"), "term", F.col("w").alias("pw"))
-    dots = features.join(small_side(known), "term").groupBy("case_id", "tag", "pos_id").agg(F.sum(F.col("w") * F.col("pw")).alias("s"))
-    best = stage(dots.groupBy("case_id", "tag").agg(F.max("s").alias("similarity")), "similar")
-    spans = best.groupBy("tag").agg(F.when(F.count(F.lit(1)) < n_cases, 0.0).otherwise(F.min("similarity")).alias("lo"), F.max("similarity").alias("hi"))
-    scaled = (F.col("similarity") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)
-    return best.join(small_side(spans), "tag").select("case_id", "tag", "similarity", scaled.alias("p"))
+    bags = _bags(features)
+    if asked is None:
+        rows = bags.withColumns({"copies": F.lit(1).cast("long"), "asked": F.lit(None).cast("array<string>")})
+    else:
+        wanted = asked.groupBy("case_id").agg(F.collect_set("tag").alias("asked"))
+        rows = bags.join(wanted, "case_id", "left").withColumn("copies", F.when(F.col("asked").isNotNull(), 1).cast("long"))
+    cells, spans = greatest_cosines(rows, _positives(labels, bags))
+    return _scaled(cells.where("similarity is not null"), spans, n_cases).select("case_id", "tag", "similarity", "p")
 
 
 def max_similarity_to_positives(cases: DataFrame, features: DataFrame, tags: DataFrame) -> DataFrame:
@@ -183,9 +206,18 @@ def max_similarity_to_positives(cases: DataFrame, features: DataFrame, tags: Dat
     """
     wanted = tags.select("tag").distinct()
     labels = cases.select("case_id", F.explode(F.array_distinct("tags")).alias("tag")).join(small_side(wanted), "tag", "left_semi")
-    near = similarity_fallback(labels, features, cases.count())
-    cells = cases.select("case_id").crossJoin(small_side(wanted)).join(near, ["case_id", "tag"], "left")
-    return cells.select("case_id", "tag", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("p", F.lit(0.0)).alias("p"))
+    bags = _bags(features)
+    copies = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = copies.join(bags, "case_id", "full_outer").withColumn("asked", F.lit(None).cast("array<string>"))
+    cells, spans = greatest_cosines(rows, _positives(labels, bags))
+    zero = F.lit(0.0)
+    near = _scaled(cells, spans, cases.count())
+    if not copies.where("copies > 1").isEmpty():
+        near = near.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    near = near.select("case_id", "tag", F.coalesce("similarity", zero).alias("similarity"), F.coalesce("p", zero).alias("p"))
+    mute = wanted.join(small_side(spans.where("n > 0").select("tag")), "tag", "left_anti")
+    rest = cases.select("case_id").crossJoin(small_side(mute)).select("case_id", "tag", zero.alias("similarity"), zero.alias("p"))
+    return near.unionByName(rest)
 
 
 def mismatch_tokens(preds: DataFrame, features: DataFrame, probe, k: int = 8) -> DataFrame:

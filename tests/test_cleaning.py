@@ -84,3 +84,58 @@ def test_similarity_takes_any_number_of_tags(spark):
     assert cells.count() == 3 * 150_001
     got = {(r["case_id"], r["tag"]): r["similarity"] for r in cells.where("similarity > 0").collect()}
     assert got == pytest.approx({(1, "t7"): 1.0, (2, "t7"): 1.0, (1, "t150000"): 1.0, (2, "t150000"): 0.6})
+
+
+def table_of_similarities(seed, spark, negative=False):
+    rng = np.random.default_rng(seed)
+    bags = {i: {f"t{j}": float(rng.random() - 0.3 * negative) for j in rng.choice(12, rng.integers(1, 5), replace=False)} for i in range(60)}
+    labels = [(i, f"g{rng.integers(0, 4)}") for i in range(0, 60, 4)] + [(4, "twice"), (4, "twice"), (200, "mute"), (None, "g0"), (8, None)]
+    want = {}
+    for pos, tag in labels:
+        for i, bag in bags.items() if pos in bags and tag else ():
+            if shared := bag.keys() & bags[pos].keys():
+                s = sum(bag[t] * bags[pos][t] for t in shared) * (2 if tag == "twice" else 1)
+                want[i, tag] = max(want.get((i, tag), -np.inf), s)
+    features = spark.createDataFrame([(i, t, w) for i, bag in bags.items() for t, w in bag.items()], "case_id long, term string, w double")
+    return spark.createDataFrame(labels, "case_id long, tag string"), features, want
+
+
+@pytest.mark.parametrize("entries, negative", [(1 << 20, False), (1 << 20, True), (9, False), (9, True)])
+def test_similarities_in_runs_and_tiles_are_those_of_all_pairs(spark, monkeypatch, entries, negative):
+    """No pair of case and positive leaves a task; tags cut over runs, tiles and rare terms give the same cells."""
+    from tagmill.operators import noise as N, similarity as S
+    labels, features, want = table_of_similarities(7, spark, negative)
+    cosines = S.greatest_cosines
+    monkeypatch.setattr(N, "greatest_cosines", lambda rows, positives: cosines(rows, positives, entries))
+    dense = S._DENSE
+    try:
+        S._DENSE, S._WIDE, S._TALL = 2, 3, 7
+        got = {(r["case_id"], r["tag"]): r for r in N.similarity_fallback(labels, features, 61).collect()}
+        asked = N.similarity_fallback(labels, features, 61, labels).collect()
+    finally:
+        S._DENSE, S._WIDE, S._TALL = dense, 2048, 256
+    assert {k: r["similarity"] for k, r in got.items()} == pytest.approx(want)
+    for (_, tag), r in got.items():
+        own = [s for (_, t), s in want.items() if t == tag]
+        assert r["p"] == pytest.approx(r["similarity"] / (max(own) + 1e-9), abs=1e-9)
+    given = {(r["case_id"], r["tag"]) for r in labels.collect()}
+    assert {(r["case_id"], r["tag"]): r["p"] for r in asked} == pytest.approx({k: r["p"] for k, r in got.items() if k in given})
+    assert len(asked) == len(set(given) & set(want))
+
+
+def test_products_of_pairs_are_not_shuffled(spark):
+    """The plan of the cells has no exchange between the product and the greatest value per case and tag."""
+    from tagmill.operators import noise as N
+    labels, features, _ = table_of_similarities(8, spark)
+    plan = N.similarity_fallback(labels, features, 61)._jdf.queryExecution().executedPlan().toString()
+    assert "pos_id" not in plan and "hashpartitioning(case_id" not in plan
+
+
+def test_every_row_of_a_case_has_every_tag(spark):
+    from tagmill.operators import noise as N
+    cases = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (2, None), (3, []), (None, ["a"])], "case_id long, tags array<string>")
+    features = spark.createDataFrame([(1, "x", 1.0), (2, "x", 0.6), (2, "y", 0.8), (9, "x", 1.0)], "case_id long, term string, w double")
+    tags = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "tag string")
+    got = sorted((r["case_id"] or 0, r["tag"], round(r["similarity"], 6)) for r in N.max_similarity_to_positives(cases, features, tags).collect())
+    near = {(1, "a"): 1.0, (2, "a"): 1.0, (1, "b"): 0.6, (2, "b"): 1.0}
+    assert got == sorted((i, t, near.get((i, t), 0.0)) for i in (1, 2, 2, 3, 0) for t in "abc")
