@@ -78,7 +78,7 @@ def clean_flow(cases: DataFrame, cells: DataFrame, features: DataFrame, threshol
     few = stage(safe_folds(counts, n).where("skipped").select("tag"), "few-tags")
     probed = cells.join(small_side(few), "tag", "left_anti")
     rare = labels.join(small_side(few), "tag", "left_semi")
-    near = similarity_fallback(rare, features, n)
+    near = stage(similarity_fallback(rare, features, n, rare), "near")  # of the labels given; nothing else is judged
     if joint:
         wrong = prune_by_joint(probed).where("y = 1").select("case_id", "tag")
     else:
