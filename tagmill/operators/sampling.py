@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.rand import pick, uniform
@@ -152,31 +156,92 @@ def shortlist_cap(labels: DataFrame, target_max: int) -> DataFrame:
         current = stage(current.join(drops, "case_id", "left_anti"), "shortlist")
 
 
-def cap_walk(labels: DataFrame, target_max: int, target_min: int = 0) -> DataFrame:
+#: Cases of a part that one task walks, and parts at most.
+PART_CASES, MAX_PARTS = 1 << 15, 4096
+
+
+def cap_walk(labels: DataFrame, target_max: int, target_min: int = 0, part_cases: int = PART_CASES) -> DataFrame:
     """The case ids a walk in ascending case_id drops to bring tags down to ``target_max``.
 
     A case is dropped if at its turn all its tags are met more than ``target_max`` times and
-    stay at ``target_min`` without it. Run in rounds by reservation: with the drops known
-    ahead of a case and those still open, its tags' counts at its turn have bounds. It goes if
-    the lower ones leave all its tags over the limit, and stays if an upper one does not. The
-    first open case can always be settled, and each round settles as many as the bounds
-    allow (a chain of cases that hang on each other takes as many rounds as its length).
+    stay at ``target_min`` without it. Cases are cut into parts, ranges of about
+    ``part_cases`` ids, and every part is walked at once, with bounds on what the parts ahead
+    drop (see ``_walk_part``). Each round tells the next one how many cases a part drops for
+    sure and how many are open, per tag. The first part with open cases is settled whole in
+    a round, so there are no more rounds than parts; settled parts are not read again.
     Rows without case_id or tag take no part; repeated labels count once.
     """
     limit = max(target_max, target_min)
-    labels = stage(labels.where("case_id is not null and tag is not null").select("case_id", "tag").distinct(), "cap-labels")
-    excess = tag_counts(labels).select("tag", (F.col("cnt") - limit).alias("excess"))
-    case = W.partitionBy("case_id")
-    rows = labels.join(small_side(excess), "tag").withColumn("least", F.min("excess").over(case)).where("least > 0")
-    rows = stage(rows.select("case_id", "tag", "excess", F.lit(False).alias("gone")), "cap-walk")
-    part = even_parts(rows, "case_id")
-    while not rows.where("not gone").isEmpty():
-        counted = counts_ahead(rows, "tag", ["case_id"], part, dropped=F.col("gone"), open=~F.col("gone"))
-        high = F.col("excess") - F.col("dropped")
-        bounds = counted.withColumns({"high": F.min(high).over(case), "low": F.min(high - F.col("open")).over(case)})
-        rows = stage(bounds.where(F.col("gone") | (F.col("high") > 0)).select(
-            "case_id", "tag", "excess", (F.col("gone") | (F.col("low") > 0)).alias("gone")), "cap-walk")
-    return rows.select("case_id").distinct()
+    cases = labels.where("case_id is not null and tag is not null").groupBy("case_id").agg(F.collect_set("tag").alias("tags"))
+    cases = stage(cases, "cap-cases")
+    marked = cases.select("case_id", F.explode("tags").alias("tag"))
+    # Tags go by number, whatever they are written as.
+    excess = stage(tag_counts(marked).select("tag", (F.col("cnt") - limit).alias("excess"), F.monotonically_increasing_id().alias("id")), "cap-tags")
+    rows = marked.join(small_side(excess), "tag").groupBy("case_id").agg(F.collect_list("id").alias("ids"), F.min("excess").alias("least"))
+    rows = stage(rows.where("least > 0").select("case_id", "ids"), "cap-walk")
+    parts = min(MAX_PARTS, rows.count() // part_cases)
+    part = even_parts(rows, "case_id", parts) if parts > 1 else F.lit(0)
+    rows = rows.select(part.cast("int").alias("part"), "case_id", "ids", F.lit(False).alias("gone"))
+    sums, settled, left = stage(_tag_sums(rows), "cap-sums"), [], None
+    while True:
+        bounds = _tag_bounds(sums, excess)
+        if left is not None:
+            rows, bounds = rows.where(F.col("part").isin(left)), bounds.where(F.col("part").isin(left))
+        rows = stage(rows.groupBy("part").cogroup(bounds.groupBy("part")).applyInArrow(_walk_part, rows.schema), "cap-walk")
+        before, left = left, [r["part"] for r in rows.where("not gone").select("part").distinct().collect()]  # MAX_PARTS at most
+        settled.append(rows.where(~F.col("part").isin(left)).select("case_id"))
+        if not left:
+            return reduce(DataFrame.union, settled)
+        counted = _tag_sums(rows)
+        if before is not None:  # what settled parts drop still counts
+            counted = counted.unionByName(sums.where(~F.col("part").isin(before)))
+        sums = stage(counted, "cap-sums")
+
+
+def _tag_sums(rows: DataFrame) -> DataFrame:
+    """Per part and tag, the cases that go for sure and the open ones."""
+    return rows.select("part", "gone", F.explode("ids").alias("id")).groupBy("part", "id").agg(
+        F.count_if("gone").alias("dropped"), F.count_if(~F.col("gone")).alias("open"))
+
+
+def _tag_bounds(sums: DataFrame, excess: DataFrame) -> DataFrame:
+    """Per part and tag, how often a case could still be dropped at the start of the part: at least ``low``, at most ``high``."""
+    ahead = W.partitionBy("id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    counted = sums.withColumns({"_dropped": before("dropped"), "_open": before("open")}).join(excess.select("id", "excess"), "id")
+    high = F.col("excess") - F.col("_dropped")
+    return counted.select("part", "id", (high - F.col("_open")).alias("low"), high.alias("high"))
+
+
+def _walk_part(rows: pa.Table, bounds: pa.Table) -> pa.Table:
+    """The cases of a part that are dropped for sure, or open; those that stay for sure are left out.
+
+    The walk keeps both bounds: a case goes if all its tags can be dropped from even if all
+    open cases ahead went, and stays if one cannot though none of them went.
+    """
+    rows = rows.combine_chunks().sort_by("case_id")
+    if not rows.num_rows:
+        return rows
+    order = np.argsort(bounds["id"].to_numpy())
+    known = bounds["id"].to_numpy()[order]
+    low, high = bounds["low"].to_numpy()[order].copy(), bounds["high"].to_numpy()[order].copy()
+    lists = rows["ids"].combine_chunks()
+    ids = np.searchsorted(known, lists.flatten().to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    gone = rows["gone"].to_numpy().copy()
+    kept = np.ones(len(gone), bool)
+    at = 0
+    for i, end in enumerate(ends.tolist()):
+        own = ids[at:end]
+        at = end
+        if gone[i] or low[own].min() > 0:
+            gone[i] = True
+            high[own] -= 1
+        elif high[own].min() <= 0:
+            kept[i] = False
+            continue
+        low[own] -= 1
+    return rows.set_column(rows.schema.get_field_index("gone"), "gone", pa.array(gone)).filter(pa.array(kept))
 
 
 def shortlist_balanced(labels: DataFrame, target_min: int, target_max: int) -> DataFrame:

@@ -146,6 +146,16 @@ def test_cap_walk_is_the_sequential_walk(spark, seed, most, least):
     assert got == _capped(tags, most, least)
 
 
+@pytest.mark.parametrize("seed,most,least,part", [(1, 20, 18, 40), (2, 40, 40, 7), (4, 5, 0, 1000)])
+def test_cap_walk_takes_no_more_rounds_than_parts(spark, monkeypatch, seed, most, least, part):
+    cases, tags = _labels(spark, seed, n=500)
+    rounds, plain = [], S.stage
+    monkeypatch.setattr(S, "stage", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    got = {r[0] for r in S.cap_walk(L.binarize_labels(cases), most, least, part).collect()}
+    assert got == _capped(tags, most, least)
+    assert rounds.count("cap-walk") - 1 <= max(1, 500 // part)
+
+
 def test_balanced_shortlist_is_both_walks(spark):
     cases, tags = _labels(spark, 9)
     counts = Counter(t for ts in tags.values() for t in ts)
