@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import terms, tokens
-from .frequent import frequent_terms
+from .frequent import ROWS, frequent_terms, known_terms
 
 MAX_TERMS = 15_000
+BAG = "array<struct<term:string,tf:bigint>>"
 
 
 def spread_by_case(cases: DataFrame) -> DataFrame:
@@ -56,9 +60,42 @@ def bags(docs: DataFrame, vocab: DataFrame, cases: DataFrame) -> DataFrame:
     """One row per case, empty ones included: its columns and bag array<(term, tf)>.
 
     ``docs`` has (case_id, terms), ``cases`` the columns to keep; the texts themselves do
-    not take part in the join. At most one entry per vocabulary term and case.
+    not take part in the join: terms are counted where the texts are, and only the bags
+    move. At most one entry per vocabulary term and case.
     """
-    counted = term_counts(docs, vocab.select("term")).groupBy("case_id").agg(
-        F.sort_array(F.collect_list(F.struct("term", F.col("n").alias("tf")))).alias("bag"))
-    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return cases.join(counted, "case_id", "left").withColumn("bag", F.coalesce("bag", empty))
+    spark = docs.sparkSession
+    names = vocab.select("term").where("term is not null").distinct().toArrow().column(0).cast(pa.string()).combine_chunks()  # top-k terms at most
+    shared = spark.sparkContext.broadcast(names.take(pc.sort_indices(names)))
+    own = docs.select("case_id", F.arrow_udf(_bagger(shared), BAG)("terms").alias("bag")).where("case_id is not null")
+    grouped = own.groupBy("case_id").agg(F.collect_list("bag").alias("_bags"))
+    none = F.array(F.array().cast(BAG))
+    # Added up after the join, so that the bags are hashed by case once.
+    return cases.join(grouped, "case_id", "left").withColumn("bag", F.arrow_udf(_merged, BAG)(F.coalesce("_bags", none))).drop("_bags")
+
+
+def _bagger(shared):
+    def run(lists: pa.Array) -> pa.Array:
+        names, parts = shared.value, []
+        for lo in range(0, max(len(lists), 1), ROWS):
+            part = lists.slice(lo, ROWS)
+            row, term, many = known_terms(part, names)
+            bounds = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+            entries = pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(many, pa.int64())], ["term", "tf"])
+            parts.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries))
+        return pa.concat_arrays(parts)
+
+    return run
+
+
+def _merged(bags: pa.Array) -> pa.Array:
+    """One bag of several, one at least: rows that share a case add up."""
+    inner = bags.flatten()
+    if len(inner) == len(bags):
+        return inner
+    flat = inner.flatten()
+    owner = pc.list_parent_indices(bags).take(pc.list_parent_indices(inner))
+    whole = pa.table({"row": owner, "term": flat.field("term"), "tf": flat.field("tf")}).group_by(["row", "term"]).aggregate([("tf", "sum")])
+    whole = whole.sort_by([("row", "ascending"), ("term", "ascending")]).combine_chunks()
+    bounds = np.searchsorted(whole["row"].to_numpy(), np.arange(len(bags) + 1))
+    entries = pa.StructArray.from_arrays([whole["term"].combine_chunks(), whole["tf_sum"].combine_chunks()], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -37,6 +38,16 @@ def summaries(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return docs.select("terms").coalesce(most).mapInArrow(_summarizer(capacity), "term string, tf long, df long")
 
 
+def numbered(lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, distinct terms, which of them) of the terms in ``lists``, nulls left out."""
+    flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    if flat.null_count:
+        known = pc.is_valid(flat)
+        flat, row = flat.filter(known), row.filter(known)
+    coded = flat.dictionary_encode()
+    return row.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def _summarizer(capacity: int):
     def merged(parts: list[pa.Table]) -> pa.Table:
         sums = pa.concat_tables(parts).group_by("term").aggregate([("tf", "sum"), ("df", "sum")])
@@ -45,11 +56,11 @@ def _summarizer(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, error = 0, [], 0
         for lists in (b.column(0).slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
-            rows = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
-            by_row = rows.filter(pc.is_valid(rows["term"])).group_by(["row", "term"]).aggregate([([], "count_all")])
-            counts = by_row.group_by("term").aggregate([("count_all", "sum"), ([], "count_all")])
-            parts.append(pa.table({"term": counts["term"].cast(pa.string()), "tf": counts["count_all_sum"].cast(pa.int64()),
-                                   "df": counts["count_all"].cast(pa.int64())}))
+            row, names, code = numbered(lists)
+            tf = np.bincount(code, minlength=len(names))
+            df = np.bincount(np.unique(row * max(len(names), 1) + code) % max(len(names), 1), minlength=len(names))
+            counts = pa.table({"term": names.cast(pa.string()), "tf": pa.array(tf, pa.int64()), "df": pa.array(df, pa.int64())})
+            parts.append(counts)
             held += len(counts)
             if held > 2 * capacity:
                 whole = merged(parts)
@@ -68,14 +79,41 @@ def _summarizer(capacity: int):
 
 def count_terms(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(term, tf, df) of all terms, or of those in the small table ``among``; partial sums per term are shuffled."""
+    if among is not None:
+        names = docs.sparkSession.sparkContext.broadcast(among.select("term").toArrow().column(0).cast(pa.string()).combine_chunks())
+        counted = docs.select("terms").mapInArrow(_counter(names), "term string, tf long, df long")
+        return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     seen = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first")))
     once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))
     rows = docs.select(F.inline_outer(F.concat(seen, once))).filter(F.col("term").isNotNull())
-    if among is not None:
-        rows = rows.join(among, "term", "left_semi")
     return rows.groupBy("term").agg(F.sum(1 - F.col("first")).alias("tf"), F.sum(F.col("first").cast("bigint")).alias("df"))
 
 
+def _counter(shared):
+    """A task's counts of the terms of ``shared``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shared.value
+        tf, df = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        for lists in (b.column(0).slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            row, term, many = known_terms(lists, names)
+            np.add.at(tf, term, many)
+            df += np.bincount(term, minlength=len(names))
+        met = np.flatnonzero(tf)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(met)), pa.array(tf[met]), pa.array(df[met])], names=["term", "tf", "df"])
+
+    return run
+
+
+def known_terms(lists: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in ``names``, how often) of the terms of each row that ``names`` holds, in this order."""
+    row, distinct, code = numbered(lists)
+    place = pc.fill_null(pc.index_in(distinct.cast(names.type), value_set=names), -1).to_numpy(zero_copy_only=False)
+    term = place[code] if len(code) else np.empty(0, np.int64)
+    hit = term >= 0
+    pairs, many = np.unique(row[hit] * max(len(names), 1) + term[hit], return_counts=True)
+    return pairs // max(len(names), 1), pairs % max(len(names), 1), many
+
+
 def candidates(docs: DataFrame, k: int, min_df: int = 1, capacity: int = CAPACITY) -> tuple[DataFrame | None, bool]:
     """(table of lower bounds that holds the k most frequent terms, whether its counts are exact); None if it cannot be told."""
     rows = stage(summaries(docs, capacity).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")), "summaries")

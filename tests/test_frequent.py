@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tagmill.operators import frequent
+from tagmill.operators import features, frequent
 
 
 def corpus(spark, rows):
@@ -79,7 +79,7 @@ def test_more_candidates_than_may_be_sent_are_counted_by_a_shuffle(spark, monkey
 def test_a_large_batch_is_counted_in_small_parts():
     script = """
 import pyarrow as pa
-from tagmill.operators import frequent
+from tagmill.operators import features, frequent
 n, wide = 20_000, 100
 terms = pa.array([f"t{i}" for i in range(1000)]).take(pa.array([i % 1000 for i in range(n * wide)]))
 batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(range(0, n * wide + 1, wide), pa.int32()), terms)], ["terms"])
@@ -91,3 +91,23 @@ print((max(pool.max_memory(), before) - held) >> 20)
 """
     done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert int(done.stdout) < 40
+
+
+def test_terms_are_counted_without_a_row_per_term(spark):
+    rows = [["a", "b", "a", None], ["b", "x"], None, [], ["ä", "a"]]
+    docs = corpus(spark, rows)
+    counted = frequent.count_terms(docs, spark.createDataFrame([("a",), ("b",), ("none",)], "term string"))
+    assert sorted(map(tuple, counted.collect())) == [("a", 3, 2), ("b", 2, 2)]
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bags_of_repeated_null_and_empty_cases(spark):
+    rows = [(1, ["b", "a", "b"]), (1, ["a", "z", None]), (2, None), (3, []), (None, ["a"]), (4, ["ä", "b"])]
+    docs = spark.createDataFrame(rows, "case_id long, terms array<string>").repartition(3)
+    vocab = spark.createDataFrame([("b",), ("a",), ("ä",)], "term string")
+    cases = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (5,), (None,)], "case_id long")
+    bags = features.bags(docs, vocab, cases)
+    found = sorted(((r["case_id"] or 0, [tuple(e) for e in r["bag"]]) for r in bags.collect()))
+    one = [("a", 2), ("b", 2)]
+    assert found == [(0, []), (1, one), (1, one), (2, []), (3, []), (4, [("b", 1), ("ä", 1)]), (5, [])]
+    assert "Generate" not in bags._jdf.queryExecution().executedPlan().toString()
