@@ -515,3 +515,38 @@ def test_revisits_of_a_hot_url_beside_odd_dates(spark):
             expected[i] = max(before, key=lambda r: (r[3], r[0]))[0] if before else None
     for slices in (4, warc.SLICES):
         assert {r["record_id"]: r["response_id"] for r in warc.resolve_revisits(frame, slices=slices).collect()} == expected
+
+
+def test_lots_of_long_queries_over_several_shards(monkeypatch):
+    monkeypatch.setattr(search, "LOT_DOCS", 16)
+    monkeypatch.setattr(search, "LOT", 7)
+    monkeypatch.setattr(search, "FREQUENT_IMPACTS", 4000)  # fewer terms than are frequent
+    rng = np.random.default_rng(5)
+    bags = [{int(t): int(rng.integers(1, 9)) for t in np.unique(rng.zipf(1.3, 60) % 400)} for _ in range(400)]
+    bags[30:60] = [bags[3]] * 30  # copies: equal scores go by the smaller id
+    shards = [_opened(bags)[0], _opened(bags)[0]]
+    shards[1].docs = shards[1].docs + 400
+    keys = [np.array(sorted({*bags[i], 1000 + i})) for i in range(0, 400, 20)] + [np.array(sorted(bags[3]))]
+    weights = [rng.random(len(k)) + 0.01 for k in keys]
+    sent = pa.table({"query": np.repeat(np.arange(len(keys)), [len(k) for k in keys]), "query_id": np.repeat(np.arange(len(keys)), [len(k) for k in keys]),
+                     "key": np.concatenate(keys), "w": np.concatenate(weights)})
+    asked, best = search._queries(type("Sent", (), {"value": sent})), search.Best(len(keys), 10)
+    for shard in shards:
+        shard.top_of_lots(asked, np.arange(len(keys)), best)
+    for n, (key, weight) in enumerate(zip(keys, weights)):
+        scores = []
+        for shard in shards:
+            for d, bag in enumerate(bags):
+                found = shard.impacts[shard.places == d][np.argsort(shard.owner[shard.places == d], kind="stable")]
+                held = dict(zip(sorted(bag), found.tolist()))
+                if s := sum(w * held[t] for t, w in zip(key.tolist(), weight.tolist()) if t in held):
+                    scores.append((-round(s, 6), int(shard.docs[d])))
+        order = np.lexsort((best.docs[n], -best.scores[n]))
+        want = sorted(scores)[:10]
+        assert best.docs[n][order].tolist() == [d for _, d in want]
+        assert best.scores[n][order] == pytest.approx([-s for s, _ in want], abs=2e-6)
+    # What cannot reach the best known scores is not looked at again.
+    monkeypatch.setattr(search.Shard, "_picked", lambda self, known, *rest, f=search.Shard._picked: (got := f(self, known + 1e6, *rest), found.append(len(got[0])))[0])
+    found = []
+    shards[0].top_of_lots(asked, np.arange(len(keys)), best)
+    assert found and sum(found) == 0
