@@ -14,7 +14,8 @@ The first tokenizer (byte-level BPE, the "A" side) is given a blank and the text
 blank between two other characters ends a token of both, whatever stands around it, so a
 long text is cut at such blanks and its parts are encoded on their own, without the blank,
 which both put back. A stretch without one is encoded by the tree of ``bpe`` and the table
-of ``pieces``.
+of ``pieces``. For the same reason the tokens of a part are those of its units, the stretches
+between such blanks, one after the other, and a unit that was met lately is not encoded again.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ BLOCK = 1 << 19
 SLICE = 128
 HOT_PAIRS = 1 << 18
 LEAF = 4096
-_SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Units of so many characters are kept by a worker.
+UNIT_CHARS = 1 << 22
+_SINGLE_BLANK = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")  # what the second tokenizer takes for a blank is none of the others
+_PLAIN = re.compile(r"[^\s\u2581](?s:.*[^\s\u2581])?")
 PAIRS = "array<struct<a:int,b:int,n:int>>"
 FACTS = f"n_a long, n_b long, n_groups long, n_links long, n_shared long, groups string, pairs {PAIRS}"
 
@@ -147,6 +151,73 @@ class Aligner:
         top = max(len(self.bytes_a), len(self.bytes_b))
         self.top = top
         self.written = [f"{i}{mark}" for mark in ",|;" for i in range(top)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units: dict[str, int] = {}
+        self.chars = 0
+        self.odd_unit = np.empty(0, bool)
+        # Of each side: the tokens of all units one after the other, where each unit's start and how many they are.
+        self.tokens = [(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in "ab"]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode units and keep their tokens."""
+        joined: list[list[str]] = [[]]
+        alone, size = [], 0
+        for unit in new:
+            if len(unit) > CUT or not _PLAIN.fullmatch(unit):
+                alone.append(unit)
+                continue
+            if size > CUT:
+                joined.append([])
+                size = 0
+            joined[-1].append(unit)
+            size += len(unit) + 1
+        units, sides = [], ([], [])
+        texts = [" ".join(some) for some in joined if some]
+        for some, text, a, b in zip((x for x in joined if x), texts, self.encode_a(texts), self.encode_b(texts)):
+            expected = (" " + text).encode()
+            ends = np.cumsum([len(u.encode()) + 1 for u in some])
+            found = []
+            for ids, table, sizes in ((a, self.bytes_a, self.size_a), (b, self.bytes_b, self.size_b)):
+                if b"".join([table[i] for i in ids]) == expected:
+                    ids = np.array(ids, np.int32)
+                    at = np.cumsum(sizes[ids])
+                    cut = np.searchsorted(at, ends)
+                    if np.array_equal(at[cut], ends):
+                        found.append((ids, np.diff(cut + 1, prepend=0)))
+            if len(found) < 2:
+                alone += some
+                continue
+            units += some
+            for side, one in zip(sides, found):
+                side.append(one)
+        odd = np.zeros(len(units) + len(alone), bool)
+        if alone:
+            for n, (unit, a, b) in enumerate(zip(alone, self.encode_a(alone), self.encode_b(alone)), len(units)):
+                expected = (" " + unit).encode()
+                odd[n] = not b"".join([self.bytes_a[i] for i in a]) == expected == b"".join([self.bytes_b[i] for i in b])
+                for side, ids in zip(sides, (a, b)):
+                    side.append((np.array(ids, np.int32), np.array([len(ids)])))
+        units += alone
+        self.odd_unit = np.concatenate([self.odd_unit, odd])
+        for n, side in enumerate(sides):
+            flat, starts, counts = self.tokens[n]
+            more = np.concatenate([c for _, c in side])
+            self.tokens[n] = (np.concatenate([flat, *(ids for ids, _ in side)]),
+                              np.concatenate([starts, len(flat) + np.cumsum(more) - more]), np.concatenate([counts, more]))
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units))))
+        self.chars += sum(map(len, units))
+
+    def _numbers(self, parts: list[str]) -> list[np.ndarray]:
+        """The numbers of each part's units."""
+        if self.chars > UNIT_CHARS:
+            self._forget()
+        cut = [_SINGLE_BLANK.split(part) for part in parts]
+        new = dict.fromkeys(unit for some in cut for unit in some if unit not in self.units)
+        if new:
+            self._learn(list(new))
+        return [np.fromiter(map(self.units.__getitem__, some), np.int64, len(some)) for some in cut]
 
     def encode_a(self, parts: list[str]) -> list[list[int]]:
         short = [" " + p for p in parts if len(p) <= 4 * CUT]
@@ -178,22 +249,23 @@ class Aligner:
             yield from self._block(held, odd)
 
     def _block(self, held: list[tuple[int, str]], odd: set[int]) -> Iterator[Block]:
-        parts = [p for _, p in held]
-        a, b = self.encode_a(parts), self.encode_b(parts)
-        bytes_of = lambda ids, table: b"".join([table[i] for i in ids])
-        good = []
-        for n, (at, part) in enumerate(held):
-            expected = (" " + part).encode()
-            if bytes_of(a[n], self.bytes_a) == expected == bytes_of(b[n], self.bytes_b):
-                good.append(n)
-            else:
+        good, units = [], []
+        for (at, _), numbers in zip(held, self._numbers([p for _, p in held])):
+            if self.odd_unit[numbers].any():
                 odd.add(at)
-        docs = np.array([held[n][0] for n in good], np.int64)
+            else:
+                good.append(at)
+                units.append(numbers)
+        if not units:
+            return
+        docs = np.repeat(np.array(good, np.int64), [len(u) for u in units])
+        number = np.concatenate(units)
         sides = []
-        for ids, sizes in ((a, self.size_a), (b, self.size_b)):
-            counts = [len(ids[n]) for n in good]
-            flat = np.fromiter((i for n in good for i in ids[n]), np.int32, sum(counts))
-            sides.append((flat, np.repeat(docs, counts), incidence(sizes[flat])))
+        for (tokens, starts, counts), sizes in zip(self.tokens, (self.size_a, self.size_b)):
+            many = counts[number]
+            ends = np.cumsum(many)
+            flat = tokens[np.arange(ends[-1]) + np.repeat(starts[number] - (ends - many), many)]
+            sides.append((flat, np.repeat(docs, many), incidence(sizes[flat])))
         (a, doc_a, bytes_a), (b, doc_b, bytes_b) = sides
         if not len(a):
             return

@@ -145,3 +145,24 @@ def test_no_rows_repeats_and_null_ids(spark):
     got = run(table)
     assert len(got) == 3 and {r["count_sum"] for r in got} == {6} and {r["n_best"] for r in got} == {2}
     assert run(table.limit(0)) == []
+
+
+def test_units_are_encoded_once_and_as_in_their_text(tokenizers, monkeypatch):
+    both = alignment.Aligner(queries.bytes_path(), queries.pieces_path())
+    seen, plain_a = [], both.encode_a
+    monkeypatch.setattr(both, "encode_a", lambda parts: seen.extend(parts) or plain_a(parts))
+    monkeypatch.setattr(alignment, "UNIT_CHARS", 2000)
+    assert both.facts(["alpha beta gamma " * 500 + "delta"])[0][0] > 0 and sum(map(len, seen)) < 100
+    rng = random.Random(3)
+    words = ["the", "don't", "Ünï", "x▁", "▁y", "a​b", " ", "日本", "é", "́", "ﬁn", "12", "...", "<|endoftext|>", "</s>",
+             "\x1c", "\x85", "　", "🙂", "a\tb", "c\nd", "'s", "▁", "\0", *(f"w{i}" for i in range(400))]
+    texts = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(words) + rng.choice([" "] * 8 + ["  ", "\n", ""]) for _ in range(rng.randrange(1, 8))) for _ in range(1500)]
+    good = 0
+    for at in range(0, len(texts), 100):
+        for text, found in zip(texts[at:at + 100], both.facts(texts[at:at + 100])):
+            want = spelled(tokenizers, text)
+            written = [int(i) for i in found[5].replace("|", ",").replace(";", ",").split(",")] if found[5] else []
+            good += want is not None
+            assert sorted(written) == (sorted([*want[0][0], *want[1][0]]) if want else []), text
+            assert found[:2] == ((len(want[0][0]), len(want[1][0])) if want else (0, 0)), text
+    assert good > 500 and both.chars < 6000
