@@ -42,6 +42,8 @@ UNIVERSE = 1 << 20
 HUBS = (1, 4)
 #: Shingles are ordered by how often their slot of this many is met: a fixed 1 MB on every machine.
 SLOTS = 1 << 18
+#: Ids and pairs of ids go to all tasks in place of shuffled sets, as long as there are no more than these.
+MAX_IDS = 1_000_000
 
 
 @cache
@@ -131,10 +133,10 @@ def _signer(words: int):
 
 def _linked(rows: DataFrame, classes: DataFrame, words: int, threshold: tuple[int, int]) -> DataFrame:
     """``(id, component)`` of the classes that link with another one."""
-    # Most bands are met once. Only the band and its count are shuffled to tell, and what
+    # Most bands are met once. Only the band and its count are shuffled to tell, once, and what
     # names a group's members is worked out for the bands that are left.
     rows_of = classes.select("rep", F.explode("bands").alias("band"))
-    repeated = rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    repeated = stage(rows_of.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band"), "repeated")
     met = stage(rows_of.join(small_side(repeated), "band"), "met")
     print_of = F.xxhash64("rep")
     groups = met.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum(print_of.cast("decimal(38,0)")).alias("s"),
@@ -182,9 +184,10 @@ def _star(members: DataFrame, turn: int, hubs: int, threshold: tuple[int, int])
 
 def _rest(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs of unlike components that share a rare shingle and have sizes that allow a link."""
-    left = members.select("rep", "component").distinct()
+    # Any one order of shingles will do, so they are counted over all sets, which stay where they are.
+    left = small_side(members.select("rep", "component").distinct(), max_rows=MAX_IDS)
     full = sets.join(left, F.col("doc_id") == F.col("rep")).select("rep", "component", "items")
-    counts = full.mapInArrow(_slot_counts, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = sets.select("items").mapInArrow(_slot_counts, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int32)
     often[counts["slot"].to_numpy()] = np.minimum(counts["n"].to_numpy(), np.iinfo(np.int32).max)
     shared = members.sparkSession.sparkContext.broadcast(often)
@@ -265,8 +268,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) ->
                     vs.append(b)
             yield pa.RecordBatch.from_pydict({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    full = (small_side(pairs.select("a", "b"), max_rows=1_000_000).join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b"))
+    # Sets in no pair are left where they are.
+    second = small_side(pairs.select("b").distinct(), max_rows=MAX_IDS)
+    full = (small_side(pairs.select("a", "b"), max_rows=MAX_IDS).join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
+            .join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")).join(second, "b", "left_semi"), "b"))
     return full.mapInArrow(run, "u long, v long")
 
 

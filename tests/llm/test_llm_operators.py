@@ -550,3 +550,25 @@ def test_lots_of_long_queries_over_several_shards(monkeypatch):
     found = []
     shards[0].top_of_lots(asked, np.arange(len(keys)), best)
     assert found and sum(found) == 0
+
+
+def test_sets_in_no_pair_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40 + i % 2))) for i in range(60)]
+    docs = table(spark, rows)
+    plans, plain = [], minhash.stage
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, name)
+
+    monkeypatch.setattr(minhash, "stage", noted)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {i: i - i % 2 for i in range(60)}
+    assert "repeated" in [name for name, _ in plans]  # bands are counted once
+    confirmed = [plan for name, plan in plans if name == "confirmed"]
+    assert confirmed and all("LeftSemi" in plan for plan in confirmed)
