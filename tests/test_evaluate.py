@@ -88,3 +88,23 @@ def test_stream_tags_like_the_batch(spark, preds, info, tmp_path):
     tag_stream(stream, info, str(tmp_path / "out"), str(tmp_path / "ck"), top_k=1).awaitTermination(60)
     got = {r["case_id"]: r["tags"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r["case_id"]: r["tags"] for r in E.predict_tags(E.judge(preds, info), 1).collect()}
+
+
+def test_review_sets_ranked_before_judging_are_those_of_all_judged(spark):
+    from tagmill.operators import evaluate as E, review as R
+    from tagmill.functions.cells import reaches
+    cells = lambda i: [(t, i % 2, ((i * 37 + j * 11) % 100) / 100 if (i + j) % 9 else None) for j, t in enumerate(("a", "b", None, "c"))]
+    preds = spark.createDataFrame([(i, cells(i)) for i in range(200)] + [(200, None), (201, []), (202, [("c", 0, float("nan"))])],
+                                  "case_id long, cells array<struct<tag:string,y:int,p:double>>")
+    info = spark.createDataFrame([("a", 0.4, "normal"), ("b", 0.97, "rare"), ("c", 0.35, "rare"), (None, 0.0, "rare")],
+                                 "tag string, threshold double, category string")
+    raised = preds.where(reaches(F.col("cells"), E.info_table(info), "rare"))
+    judged = E.judge(preds, info)
+    want = judged.where(F.exists("cells", lambda c: (c["category"] == "rare") & (c["pred"] == 1)))
+    ids = sorted(r["case_id"] for r in raised.collect())
+    assert ids == sorted(r["case_id"] for r in want.collect()) and 202 in ids and 20 < len(ids) < 200
+    k, some = R.review_budget(203), preds.where("case_id < 200")
+    sets = {"uncertain": R.most_uncertain(some, k), "rare": R.first_raised(some, info, k), "confident": R.most_confident(some, k)}
+    all_judged = E.judge(some, info)
+    got = R.review_export(None, 203, **{n: E.judge(d, info) for n, d in sets.items()})
+    assert sorted(got.collect()) == sorted(R.review_export(all_judged, 203).collect())
